@@ -154,7 +154,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def verified(sk: DataFrame, cand: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(fa, fb, similarity) of classes whose bags are similar by `threshold` or more; texts: (g, side, id, text)."""
-    one = sk.filter("sk is not null").groupBy("fp").agg(F.first("sk").alias("sk"), F.min(F.struct("g", "side", "id")).alias("rep")).withColumn("low", _low("fp"))
+    # Sketches of classes in a candidate pair only; the others move once and no further.
+    met = cand.select(F.explode(F.array("a", "b")).alias("low")).distinct()
+    one = sk.filter("sk is not null").withColumn("low", _low("fp")).join(met, "low", "left_semi")
+    one = cut(one.groupBy("fp", "low").agg(F.first("sk").alias("sk"), F.min(F.struct("g", "side", "id")).alias("rep")), "lz4")
     left = one.select(F.col("low").alias("a"), F.col("fp").alias("fa"), F.col("sk").alias("ska"), F.col("rep").alias("ra"))
     right = one.select(F.col("low").alias("b"), F.col("fp").alias("fb"), F.col("sk").alias("skb"), F.col("rep").alias("rb"))
     close = cut(
@@ -187,7 +190,7 @@ def expanded(sk: DataFrame, pairs: DataFrame, within: bool = True, full: int = F
     c = classes(sk)
     size = c.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
     sized = (
-        pairs.join(size.select(F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("lead").alias("la")), "fa")
+        pairs.select("fa", "fb").join(size.select(F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("lead").alias("la")), "fa")
         .join(size.select(F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("lead").alias("lb")), "fb")
         .withColumn("all", F.col("na") * F.col("nb") <= full)
     )
