@@ -36,6 +36,15 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """`df` (narrow rows) written and read again, marked for broadcast if it has no more than `rows` rows.
+
+    Beyond that the mark is left off and the join shuffles as usual.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """`df` with the place 1.. of each row in the order `order` as bigint `name`.
 
