@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm import sketch as S
-from plumbline.scratch import cut
+from plumbline.scratch import bounded, cut
 
 BANDS, ROWS = 64, 8
 BUCKET = 1_000_000
@@ -155,7 +155,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def verified(sk: DataFrame, cand: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(fa, fb, similarity) of classes whose bags are similar by `threshold` or more; texts: (g, side, id, text)."""
     # Sketches of classes in a candidate pair only; the others move once and no further.
-    met = cand.select(F.explode(F.array("a", "b")).alias("low")).distinct()
+    met = bounded(cand.select(F.explode(F.array("a", "b")).alias("low")).distinct())
     one = sk.filter("sk is not null").withColumn("low", _low("fp")).join(met, "low", "left_semi")
     one = cut(one.groupBy("fp", "low").agg(F.first("sk").alias("sk"), F.min(F.struct("g", "side", "id")).alias("rep")), "lz4")
     left = one.select(F.col("low").alias("a"), F.col("fp").alias("fa"), F.col("sk").alias("ska"), F.col("rep").alias("ra"))
@@ -164,7 +164,7 @@ def verified(sk: DataFrame, cand: DataFrame, texts: DataFrame, threshold: float
         cand.join(left, "a").join(right, "b").filter(_estimate("ska", "skb") >= FLOOR)
         .select("fa", "fb", "ra", "rb")
     )
-    wanted = close.select(F.explode(F.array("ra", "rb")).alias("r")).select("r.*").distinct()
+    wanted = bounded(close.select(F.explode(F.array("ra", "rb")).alias("r")).select("r.*").distinct())
     # Rows stored twice have one text; max makes it one row.
     text = texts.join(wanted, ["g", "side", "id"], "left_semi").groupBy("g", "side", "id").agg(F.max("text").alias("text"))
     text = cut(text.select(F.struct("g", "side", "id").alias("r"), "text"))
