@@ -1,10 +1,10 @@
 """All queries of the core, by name, and their SQL."""
 from __future__ import annotations
 
-from plumbline.operators import hotkeys, trailing
+from plumbline.operators import behavior, bursts, hotkeys, trailing
 
 FLAGSHIP = "p2_businesses"
-_MODULES = [hotkeys, trailing]
+_MODULES = [hotkeys, trailing, behavior, bursts]
 
 
 def queries() -> dict:
