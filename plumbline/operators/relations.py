@@ -329,5 +329,5 @@ SQL = {
  (select *, p < 0.01 / count(*) over (partition by relation) sig from (select relation, s, hits, case when hits = 0 then 1 else list_sum(list_transform(range(hits::bigint, least(s, kk)::bigint + 1),
  lambda j: case when s - j <= nn - kk then exp(lgamma(kk + 1) - lgamma(j + 1) - lgamma(kk - j + 1) + lgamma(nn - kk + 1) - lgamma(s - j + 1) - lgamma(nn - kk - s + j + 1) - lgamma(nn + 1) + lgamma(s + 1) + lgamma(nn - s + 1)) else 0 end)) end p
  from gs, (select count(*) nn, sum(y) kk from r) where s > 1)) group by relation""", LONG, _G),
-    "g09_verify_cliques": sql("select count(*) n_nodes, 0::bigint n_mismatched, 0.0::double mismatch_share from (select review_id from r where k_rtr in (select k_rtr from r group by 1 having count(*) > 1))"),
+    "g09_verify_cliques": sql("select count(*) n_nodes, count(*) filter (d <> s - 1) n_mismatched, round(avg((d <> s - 1)::int), 6) mismatch_share from (select review_id, count(*) over (partition by k_rtr) s from r) join (select src, count(*) d from (select src from e1 union all select dst from e1) group by 1) on src = review_id", _E1),
 }

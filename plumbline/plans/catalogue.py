@@ -1,10 +1,10 @@
 """All queries of the core, by name, and their SQL."""
 from __future__ import annotations
 
-from plumbline.operators import behavior, bursts, hotkeys, relations, trailing
+from plumbline.operators import behavior, belief, bursts, evaluate, hotkeys, relations, trailing
 
 FLAGSHIP = "p2_businesses"
-_MODULES = [hotkeys, trailing, behavior, bursts, relations]
+_MODULES = [hotkeys, trailing, behavior, bursts, relations, evaluate, belief]
 
 
 def queries() -> dict:
