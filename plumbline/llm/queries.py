@@ -1,7 +1,7 @@
 """Queries of the package for the driver's entry, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from plumbline.llm import p1, p3, p4, p5, p7, p8
+from plumbline.llm import p1, p3, p4, p5, p7, p8, p9
 
 QUERIES = {
     "p1_found": p1.found, "p1_report": p1.report,
@@ -10,6 +10,7 @@ QUERIES = {
     "p5_found": p5.found, "p5_ranking": p5.ranking,
     "p7_ids": p7.ids,
     "p8_found": p8.found, "p8_containers": p8.containers,
+    "p9_found": p9.found, "p9_redacted": p9.redacted,
 }
 
 _P5 = """
