@@ -1,10 +1,10 @@
 """All queries of the core, by name, and their SQL."""
 from __future__ import annotations
 
-from plumbline.operators import behavior, belief, bursts, evaluate, hotkeys, profile, relations, textsim, trailing
+from plumbline.operators import behavior, belief, bursts, evaluate, hotkeys, profile, relational, relations, textsim, trailing
 
 FLAGSHIP = "p2_businesses"
-_MODULES = [hotkeys, trailing, behavior, bursts, relations, evaluate, belief, textsim, profile]
+_MODULES = [hotkeys, trailing, behavior, bursts, relations, evaluate, belief, textsim, profile, relational]
 
 
 def queries() -> dict:
