@@ -43,11 +43,9 @@ def valid_reviews(meta: DataFrame) -> DataFrame:
 def stretches(reviews: DataFrame, entity: str, periods: tuple[int, ...] = PERIODS) -> DataFrame:
     """(entity, day, until, last_active, n_p, total_p, known_p for each period): totals that hold from `day` up to before
     `until`, within first and last review of the entity. Null entities are none."""
-    daily = reviews.filter(F.col(entity).isNotNull()).groupBy(entity, "day").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rating"), F.lit(0.0)).alias("t"), F.count("rating").alias("k")
-    )
-    last = Window.partitionBy(entity)
-    daily = daily.withColumn("_last", F.max("day").over(last))
+    r = reviews.select(F.col(entity).alias("_who"), "day", "rating").filter("_who is not null and day is not null")
+    daily = r.groupBy("_who", "day").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rating"), F.lit(0.0)).alias("t"), F.count("rating").alias("k"))
+    daily = daily.withColumn("_last", F.max("day").over(Window.partitionBy("_who")))
     names = [f"{x}_{p}" for p in periods for x in ("n", "total", "known")]
 
     def delta(at: int, sign_of) -> Column:
@@ -55,17 +53,17 @@ def stretches(reviews: DataFrame, entity: str, periods: tuple[int, ...] = PERIOD
         for p in periods:
             s = sign_of(p)
             vals += [(F.col("n") * s).alias(f"n_{p}"), (F.col("t") * s).alias(f"total_{p}"), (F.col("k") * s).alias(f"known_{p}")]
-        return F.struct(F.date_add("day", at).alias("d"), *vals, F.lit(1 if at == 0 else 0).alias("active"))
+        return F.struct(F.date_add("day", at).alias("_d"), *vals, F.lit(1 if at == 0 else 0).alias("active"))
 
     events = [delta(0, lambda p: 1)] + [delta(q, lambda p, q=q: -1 if p == q else 0) for q in periods]
     changes = (
-        daily.select(entity, "_last", F.explode(F.array(*events)).alias("e")).select(entity, "_last", "e.*").filter("d <= _last")
-        .groupBy(entity, "d").agg(F.max("_last").alias("_last"), F.max("active").alias("active"), *[F.sum(c).alias(c) for c in names])
+        daily.select("_who", "_last", F.explode(F.array(*events)).alias("_e")).select("_who", "_last", "_e.*").filter("_d <= _last")
+        .groupBy("_who", "_d").agg(F.max("_last").alias("_last"), F.max("active").alias("active"), *[F.sum(c).alias(c) for c in names])
     )
-    w = Window.partitionBy(entity).orderBy("d")
+    w = Window.partitionBy("_who").orderBy("_d")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return changes.select(
-        entity, F.col("d").alias("day"), F.coalesce(F.lead("d").over(w), F.date_add("_last", 1)).alias("until"), F.col("active"),
+        F.col("_who").alias(entity), F.col("_d").alias("day"), F.coalesce(F.lead("_d").over(w), F.date_add("_last", 1)).alias("until"), F.col("active"),
         *[F.sum(c).over(run).alias(c) for c in names],
     )
 
