@@ -64,7 +64,7 @@ class TrieEncoder:
         """Whether token a followed by token b is how their joined bytes are encoded."""
         got = self.apart.get((a, b))
         if got is None:
-            if len(self.apart) > 4_000_000:
+            if len(self.apart) > 1_000_000:
                 self.apart.clear()
             got = self.apart[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return got

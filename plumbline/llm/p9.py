@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -64,6 +65,9 @@ _NAMES = [
 #: A street with one, two and three words before its kind: which of them is one, its kind tells.
 _STREET_RX = [(k, regex.compile(p.replace("{WORDS}", f"{{{n}}}"))) for k, p in _STREET for n in ((1, 2, 3) if "WORDS" in p else (1,))]
 _NAME_RX = [(k, regex.compile(p)) for k, p in _NAMES]
+_AT_RX, _LOCAL_RX, _SIGN_RX = regex.compile(_AT), regex.compile(r"(?<![\w.+%-])[\w%+-]+(?:\.[\w%+-]+)*$"), regex.compile("[@＠﹫]")
+_TURNED_RX = regex.compile(r"\p{Lu}[\p{L}\p{M}'’]+, \p{Lu}")
+_DIGIT_RX, _WORD_RX = regex.compile(_DIGIT), re.compile(r"[^\W\d_]+")
 _MAIL_RX, _MAIL2_RX, _NUM_RX, _SPELLED_RX = map(regex.compile, (_MAIL_PLAIN, _MAIL_OTHER, _NUMBER, _SPELLED))
 #: Words before a number that make it one of an order, booking, item and the like, which is no case.
 _NOT = re.compile(r"\b(order|booking|reservation|invoice|item|coupon|bill|receipt|version|ticket|ref|gate|room|bestellung|rechnung|pedido|factura|commande|facture)\b")
@@ -103,16 +107,36 @@ def _sur(s: str) -> str:
     return f"{s[:3]}~{s.rsplit('-', 1)[-1][-3:]}"
 
 
+@lru_cache(100_000)
+def _digit(w: str) -> bool:
+    return bool(_DIGIT_RX.fullmatch(w))
+
+
+def _spelled(t: str) -> bool:
+    """Whether six words in a row are digits."""
+    run = 0
+    for w in _WORD_RX.findall(t.lower()):
+        run = run + 1 if _digit(w) else 0
+        if run == 6:
+            return True
+    return False
+
+
 def found_in(t: str) -> Iterator[tuple[str, str, int, int, str, str, str]]:
     """(group, form, start, end, feature, second feature, middle name) of each candidate in `t`."""
-    for m in _MAIL_RX.finditer(t):
-        yield "EMAIL", "@", m.start(), m.end(), "@", "", ""
-    for m in _MAIL2_RX.finditer(t, overlapped=True):
-        if not regex.search(r"[@＠﹫]", m.group()) or " @ " in m.group():
+    if _SIGN_RX.search(t):
+        for m in _MAIL_RX.finditer(t):
+            yield "EMAIL", "@", m.start(), m.end(), "@", "", ""
+    for a in _AT_RX.finditer(t, overlapped=True):
+        # The part before has no blank: start where it starts, instead of trying every place of the text.
+        local = _LOCAL_RX.search(t, max(0, a.start() - 255), a.start())
+        m = local and _MAIL2_RX.match(t, local.start())
+        if m and (" @ " in m.group() or not _SIGN_RX.search(m.group())):
             style = regex.sub(r"[\w%+-]{2,}(?<!\bat|\bAT|\bdot|\bDOT|\barroba|\bpunto|\bpunkt|\bpoint)", "w", m.group())
             yield "EMAIL", "w", m.start(), m.end(), regex.sub(r"w([.\-]w)*", "w", style)[:40], "", ""
-    for m in _SPELLED_RX.finditer(t):
-        yield "NUMBER", "w", m.start(), m.end(), "spelled", "", ""
+    if _spelled(t):
+        for m in _SPELLED_RX.finditer(t):
+            yield "NUMBER", "w", m.start(), m.end(), "spelled", "", ""
     for m in _NUM_RX.finditer(t):
         s, e = m.span()
         g = m.group()
@@ -134,6 +158,8 @@ def found_in(t: str) -> Iterator[tuple[str, str, int, int, str, str, str]]:
                 e -= 1  # the full stop of the sentence
             yield "ADDRESS", form, s, e, form + ":" + (kind[-_TAIL:] if form == "d" else kind), "", ""
     for form, rx in _NAME_RX:
+        if form == "l" and "=" not in t or form == "s" and not _TURNED_RX.search(t):
+            continue
         for m in rx.finditer(t, overlapped=True):
             d = m.groupdict()
             given = (d.get("given") or "").lower()
