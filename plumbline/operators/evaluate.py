@@ -241,10 +241,10 @@ def scattered(r: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "e01_e04_metrics": Q(lambda r: metrics(signals(r), ["signal"])), "t01_topk_capture": Q(lambda r: topk(signals(r), ["signal"])), "p07_slices": Q(lambda r: sliced(r).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))),
+    "e01_e04_metrics": Q(lambda r: metrics(signals(r), ["signal"])), "t01_topk_capture": Q(lambda r: topk(signals(r), ["signal"])), "filter07_slices": Q(lambda r: sliced(r).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))),
     "e05_by_slice": Q(by_slice), "a14_abstention_thresholds": Q(lambda r: thresholds(signals(r))), "a15_band_summary": Q(band_summary), "e07_stratified_split": Q(stratified_split),
     "e08_group_split": Q(lambda r: group_split(r, "u")), "u05_split_disjoint": Q(disjoint), "e09_temporal_split": Q(temporal_split), "e10_standardised": Q(standardised), "e16_macro_f1": Q(macro_f1), "e17_linear_fusion": Q(fused),
-    "a19_correlations": Q(correlations), "p09_degenerate_columns": Q(degenerate), "w13_rank_average": Q(seed_rank_average), "e06_protocols": Q(protocols), "e14_single_features": Q(single_features),
+    "a19_correlations": Q(correlations), "filter09_degenerate_columns": Q(degenerate), "w13_rank_average": Q(seed_rank_average), "e06_protocols": Q(protocols), "e14_single_features": Q(single_features),
     "e20_style_recall": Q(style_recall), "e21_scattered": Q(scattered), "w04_percentile_prior": Q(lambda r: percentile_prior(r.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "n").select("n", r6("prior").alias("prior"))),
 }
 SG = f"sg as (unpivot (select lo.review_id, lo.y, {', '.join(f'round(loo_{x}, 9) loo_{x}' for x in RELATIONS)}, round(z, 9) burst from lo join rz using (review_id)) on loo_rur, loo_rsr, loo_rtr, burst into name signal value score)"
@@ -272,7 +272,7 @@ SQL = {
     "t01_topk_capture": sql("""select signal, fraction, k, sum(y)::bigint hits, round(sum(y) / k, 6) as precision, round(sum(y) / nullif(any_value(pos), 0), 6) recall, round(sum(y) / k / nullif(any_value(pos) / any_value(n), 0), 6) lift from
  (select *, greatest(1, round_even(n * fraction, 0))::bigint k from (select *, row_number() over (partition by signal order by score desc, review_id) i, count(*) over (partition by signal) n, sum(y) over (partition by signal) pos from sg), (select unnest([0.05, 0.1, 0.2]) fraction))
  where i <= k group by signal, fraction, k""", *_SIG),
-    "p07_slices": sql("select slice, count(*) n from sl group by 1", _CN, _SLICES),
+    "filter07_slices": sql("select slice, count(*) n from sl group by 1", _CN, _SLICES),
     "e05_by_slice": sql("select * from (" + _metrics_sql("(select * from sg join sl using (review_id) where signal = 'loo_rsr')", "slice") + ") where n >= 50", *_SIG, _CN, _SLICES),
     "a14_abstention_thresholds": sql("select signal, round(quantile_cont(score, 0.1), 6) low, round(quantile_cont(score, 0.9), 6) high from sg group by 1", *_SIG),
     "a15_band_summary": sql("""select signal, band, count(*) n, round(avg(y), 6) fraud_rate, round(count(*) / sum(count(*)) over (partition by signal), 6) as share from (select signal, y, case when round(score, 6) >= round(hi, 6) then 'suspicious' when round(score, 6) <= round(lo, 6) then 'genuine' else 'uncertain' end band
@@ -287,7 +287,7 @@ SQL = {
  from sg join (select distinct signal, round(unnest(quantile_cont(score, [{', '.join(str(i / 100) for i in range(1, 100))}])), 6) t from sg group by signal) q on q.signal = sg.signal group by 1, 2))) where i = 1""", *_SIG),
     "e17_linear_fusion": sql("select review_id, round(sum(case when hi > lo_ then (score - lo_) / (hi - lo_) else 0 end) / 4, 6) fused from sg join (select signal, min(score) lo_, max(score) hi from sg group by 1) using (signal) group by 1", *_SIG),
     "a19_correlations": sql(" union all ".join(f"select '{a}' a, '{b}' b, {_CORR(a, b, 0, 0)} pearson, {_CORR('r_' + a, 'r_' + b, 0, 0)} spearman from av" for a, b in (("rating", "age"), ("rating", "y"), ("age", "y"))), _AV),
-    "p09_degenerate_columns": sql("""select unnest(['rating', 'age', 'age_weeks', 'one']) feature, unnest([(v0 > 1e-12)::int, (v1 > 1e-12 and not (v0 > 1e-12 and c01 >= 0.999))::int,
+    "filter09_degenerate_columns": sql("""select unnest(['rating', 'age', 'age_weeks', 'one']) feature, unnest([(v0 > 1e-12)::int, (v1 > 1e-12 and not (v0 > 1e-12 and c01 >= 0.999))::int,
  (v2 > 1e-12 and not (v0 > 1e-12 and c02 >= 0.999) and not (v1 > 1e-12 and not (v0 > 1e-12 and c01 >= 0.999) and c12 >= 0.999))::int, 0]) kept from
  (select var_pop(rating) v0, var_pop(a) v1, var_pop(a / 7) v2, abs(corr(rating, a)) c01, abs(corr(rating, a / 7)) c02, abs(corr(a, a / 7)) c12 from (select rating, date_diff('day', date '2019-01-01', day)::double a from r))"""),
     "w13_rank_average": sql("select review_id, round(avg(i), 6) mean_rank from (select review_id, row_number() over (partition by s order by md5(review_id || '|' || s), review_id) i from r, (select unnest([1, 2, 3]) s)) group by 1"),

@@ -115,7 +115,7 @@ def orders_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "j01_meta_with_text": meta_with_text, "s02_path_labels": path_scan, "s03_labelled_csv": labelled, "s07_tri_state": tri_labels, "t06_stratified_sample": seed_sample, "p04_length_between": seed_texts, "j05_singletons": singletons,
+    "j01_meta_with_text": meta_with_text, "s02_path_labels": path_scan, "s03_labelled_csv": labelled, "s07_tri_state": tri_labels, "t06_stratified_sample": seed_sample, "filter04_length_between": seed_texts, "j05_singletons": singletons,
     "j06_campaign_products": campaign_rows, "j07_pending": pending, "j08_j17_task_grid": task_grid, "a24_source_counts": source_counts, "a08_distinct_counts": distinct_counts, "a09_value_counts": value_counts, "f13_json": json_props,
     "w05_lag_days": lag_days, "j02_j03_stats_joins": reviewer_business, "star_join": orders_shape,
 }
@@ -126,7 +126,7 @@ SQL = {
     "s03_labelled_csv": "select coalesce(is_fake, false) is_fake, case when is_fake then 'language_model' else 'human' end generator, category, count(*) n, count(text) n_text from reviews group by 1, 2, 3",
     "s07_tri_state": "select case when label = 1 then true when label = 0 then false end is_fake, count(*) n from yelp_nyc_metadata group by 1",
     "t06_stratified_sample": "select source_dataset, id, i place from (select *, row_number() over (partition by source_dataset order by md5(id || '|42'), id) i from (select distinct id, source_dataset from reviews)) where i <= 20",
-    "p04_length_between": "select distinct id from reviews where length(text) between 80 and 400 and not is_fake", "j05_singletons": sql("select review_id from r where u in (select u from r group by 1 having count(*) = 1)"),
+    "filter04_length_between": "select distinct id from reviews where length(text) between 80 and 400 and not is_fake", "j05_singletons": sql("select review_id from r where u in (select u from r group by 1 having count(*) = 1)"),
     "j06_campaign_products": sql("select review_id, b from r where b in (select b from r where y = 1)"), "j07_pending": "select doc_id from documents d where text is not null and not exists (select 1 from reviews r where r.text = d.text)",
     "j08_j17_task_grid": "select category, rating from (select distinct category from reviews where category is not null), (select unnest([1.0, 2.0, 3.0, 4.0, 5.0])::double rating) except select category, rating from reviews",
     "a24_source_counts": "select source_dataset, is_fake, count(*) n from reviews group by 1, 2", "a08_distinct_counts": sql("select count(distinct u) accounts, count(distinct b) businesses, count(*) reviews from r"),
