@@ -8,13 +8,14 @@ Steps, each a distributed stage:
 2. `candidates`: BANDS bands of ROWS registers. The keys of a batch go out packed, ten bytes per class and band, to
    BANDS x `parts` buckets, where `parts` grows with the records so that a bucket stays near BUCKET entries; each
    bucket is sorted in NumPy and its runs of equal keys give pairs.
-3. `verified`: pairs whose corrected estimate is under FLOOR go (5 standard errors under the threshold); the rest meets
+3. `verified`: pairs whose corrected estimate is under FLOOR go (6 standard errors under the threshold); the rest meets
    its texts and is kept if the similarity of the whole bags reaches the threshold.
 4. `expanded`: pairs of classes become pairs of records. Classes of many copies are not multiplied out: beyond FULL
    pairs, each copy is paired with the other class's least record, and `classes` holds the membership.
 
-Nulls and texts of fewer than `least` words are left out. Recall of the bands, measured against brute force on bags with
-random edits: 0.97 between similarities of 0.7 and 0.75, 0.998 up to 0.8, and all pairs from there on.
+Nulls and texts of fewer than `least` words are left out. Recall of bands and floor, measured on texts
+of 8 to 60 words with some words replaced: 0.989 between similarities of 0.7 and 0.75, 0.999 up to 0.8, 0.9998 up to 0.85;
+the same where only words of over three letters are replaced (0.9895, 0.9997, all).
 """
 from __future__ import annotations
 

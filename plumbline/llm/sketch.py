@@ -1,10 +1,9 @@
-"""Weighted HyperMinHash sketches of word bags, in NumPy, for Arrow batches.
+"""HyperMinHash sketches of word bags, in NumPy, for Arrow batches.
 
 A text is the bag of its words: the k-th occurrence of a word is an element of its own, so that Jaccard similarity of
 elements is the similarity of bags. Each of REGISTERS buckets hashes all elements, keeps the least value and stores of
-it the count of leading zeros (4 bits, less OFFSET) and the MANTISSA bits after the leading one: one byte. Words of up
-to SHORT letters weigh 1/8, by multiplying their values by 8, because they make unlike texts look alike; the weight
-only steers which pairs become candidates, every candidate is verified on whole bags.
+it the count of leading zeros (4 bits) and the MANTISSA bits after the leading one: one byte. All words weigh the same, as
+in the similarity that decides: with less weight on short words, pairs whose edits fall on the others would be missed.
 """
 from __future__ import annotations
 
@@ -13,9 +12,7 @@ import re
 import numpy as np
 import xxhash
 
-REGISTERS, MANTISSA, SHORT, WEIGHT_SHIFT = 128, 4, 3, 3
-#: Values of words of full weight start with this many zeros more than others.
-OFFSET = WEIGHT_SHIFT
+REGISTERS, MANTISSA = 128, 4
 WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -34,20 +31,20 @@ def words(text: str | None) -> list[str]:
 
 
 def _word_hashes(flat: list[str]) -> np.ndarray:
-    """32-bit hash of each word, its last bit telling a short word."""
+    """32-bit hash of each word."""
     if len(_cache) > _CACHE_MAX:
         _cache.clear()
     get, out = _cache.get, []
     for w in flat:
         h = get(w)
         if h is None:
-            h = _cache[w] = (xxhash.xxh32_intdigest(w) & 0xFFFFFFFE) | (len(w) <= SHORT)
+            h = _cache[w] = xxhash.xxh32_intdigest(w)
         out.append(h)
     return np.array(out, np.uint64)
 
 
-def elements(bags: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element hashes, whether of a short word, start of each bag); no bag may be empty."""
+def elements(bags: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(element hashes, start of each bag); no bag may be empty."""
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     h = _word_hashes([w for b in bags for w in b])
     key = np.repeat(np.arange(len(bags), dtype=np.uint64) << np.uint64(32), sizes) | h
@@ -60,19 +57,17 @@ def elements(bags: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     mixed = (h + occurrence * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0x94D049BB133111EB)
-    return (mixed >> np.uint64(32)).astype(np.uint32), (h & np.uint64(1)).astype(bool), np.cumsum(sizes) - sizes
+    return (mixed >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes) - sizes
 
 
 def sketches(bags: list[list[str]]) -> np.ndarray:
-    """uint8 [len(bags), REGISTERS + 1]: the registers and the level of the bag's weight. No bag may be empty."""
+    """uint8 [len(bags), REGISTERS + 1]: the registers and the level of the bag's size. No bag may be empty."""
     out = np.empty((len(bags), REGISTERS + 1), np.uint8)
     if not bags:
         return out
-    e, short, start = elements(bags)
-    shift = np.where(short, 0, WEIGHT_SHIFT).astype(np.uint32)
-    weight = np.add.reduceat(np.where(short, 2.0**-WEIGHT_SHIFT, 1.0), start)
-    out[:, REGISTERS] = np.clip(np.rint(4 * np.log2(weight)) + 12, 0, 255)
+    e, start = elements(bags)
     ends, at = np.append(start[1:], len(e)), 0
+    out[:, REGISTERS] = np.clip(np.rint(4 * np.log2(ends - start)), 0, 255)
     while at < len(bags):  # some 4,000 elements at once, to stay in the processor's cache
         to = max(at + 1, int(np.searchsorted(ends, start[at] + 4096)))
         s, t = start[at], ends[to - 1]
@@ -80,27 +75,26 @@ def sketches(bags: list[list[str]]) -> np.ndarray:
             v = np.full((1, REGISTERS), 0xFFFFFFFF, np.uint32)
             for x in range(s, t, 65536):
                 y = min(t, x + 65536)
-                v = np.minimum(v, ((e[x:y, None] * _A + _B) >> shift[x:y, None]).min(0))
+                v = np.minimum(v, (e[x:y, None] * _A + _B).min(0))
         else:
             v = e[s:t, None] * _A
             v += _B
-            v >>= shift[s:t, None]
             v = np.minimum.reduceat(v, start[at:to] - s, axis=0)
         m, x = np.frexp(v.astype(np.float64))
-        zeros = np.clip(32 - x - OFFSET, 0, 15)
+        zeros = np.clip(32 - x, 0, 15)
         out[at:to, :REGISTERS] = (zeros << MANTISSA) | np.clip((2 * m - 1) * 2**MANTISSA, 0, 2**MANTISSA - 1).astype(np.int64)
         at = to
     return out
 
 
 def _chance() -> np.ndarray:
-    """[level, level]: how often registers of two unrelated bags of those weights agree."""
-    weight = 2.0 ** ((np.arange(256) - 12) / 4)
+    """[level, level]: how often registers of two unrelated bags of those sizes agree."""
+    size = 2.0 ** (np.arange(256) / 4)
     z, f = np.divmod(np.arange(256), 2**MANTISSA)
-    # The least of `weight` uniform values (as shares of 2**(32 - OFFSET)) is exponential.
+    # The least of `size` uniform values (as shares of 2**32) is exponential.
     lo = (1 + f / 2**MANTISSA) * 2.0 ** -(z + 1)
     hi = (1 + (f + 1) / 2**MANTISSA) * 2.0 ** -(z + 1)
-    p = np.exp(-weight[:, None] * lo) - np.exp(-weight[:, None] * hi)
+    p = np.exp(-size[:, None] * lo) - np.exp(-size[:, None] * hi)
     return p @ p.T
 
 
@@ -108,7 +102,7 @@ _CHANCE: list[np.ndarray] = []
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard of each pair of sketches, corrected for registers that agree by chance."""
+    """Jaccard of each pair of sketches, corrected for registers that agree by chance."""
     if not _CHANCE:
         _CHANCE.append(_chance())
     agree = (a[:, :REGISTERS] == b[:, :REGISTERS]).mean(1)

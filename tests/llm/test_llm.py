@@ -59,6 +59,16 @@ def test_sketch_estimates():
     assert sketch.words(None) == [] and sketch.words("İstanbul A_b c1") == ["i̇stanbul", "a", "b", "c1"]
 
 
+def test_edits_of_long_words_are_found_as_well_as_others():
+    rnd, pairs = random.Random(3), []
+    for _ in range(500):  # 10 of 14 words: a similarity of 0.71
+        short, long = rnd.sample("the a of and to in is it was for on at we my".split(), 9), [f"word{rnd.randrange(10**6)}" for _ in range(5)]
+        pairs.append((short + long[:3], short + [long[0], *long[3:]]))
+    a, b = sketch.sketches([x for x, _ in pairs]), sketch.sketches([y for _, y in pairs])
+    keys = [sketch.band_keys(x, sketch.picks(neardup.BANDS, neardup.ROWS), np.zeros(500)) for x in (a, b)]
+    assert (sketch.estimate(a, b) >= neardup.FLOOR).all() and (keys[0] == keys[1]).any(0).mean() > 0.95
+
+
 def test_p3_equals_brute_force(spark, folder):
     texts = dict(enumerate(corpus(1, 250)))
     copies = {1000 + i: "The same eight words stand here again and again" for i in range(120)}  # a hot group
