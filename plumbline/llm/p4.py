@@ -153,6 +153,7 @@ def generator_split(spark: SparkSession, d: str) -> DataFrame:
     Records without a generator are units of their own.
     """
     r = table(spark, d, "reviews", "id", "generator").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min(F.lower(F.trim("generator"))).alias("gen"))
-    r = r.withColumn("unit", F.coalesce(F.xxhash64("gen").bitwiseOR(F.lit(1)), F.col("id") * 2))
+    # The hash of null is a number, not null.
+    r = r.withColumn("unit", F.when(F.col("gen").isNotNull(), F.xxhash64("gen").bitwiseOR(F.lit(1))).otherwise(F.col("id") * 2))
     size = cut(r.groupBy("unit").agg(F.count(F.lit(1)).alias("size")))
     return r.join(assigned(size, _shares(spark, d)), "unit").select("id", "split_role")

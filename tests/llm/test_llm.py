@@ -140,6 +140,15 @@ def test_p4(spark, folder):
         assert all(len(v) == 1 for v in seen.values())
 
 
+def test_p4_records_without_generator_are_units_of_their_own(spark, folder):
+    folder.write("reviews", reviews({i: "x" for i in range(100)}, gen=lambda i: (" A", "a ", None)[i % 3]), REVIEWS)
+    folder.write("split_plan", [("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_role string, share double")
+    role = {r.id: r.split_role for r in p4.generator_split(spark, folder.at).collect()}
+    assert len(role) == 100 and len({role[i] for i in role if i % 3 < 2}) == 1
+    n = Counter(role.values())  # 67 rows of one generator, 33 rows that fill up
+    assert abs(n["train"] - 80) <= 2 and abs(n["validation"] - 10) <= 2 and abs(n["test"] - 10) <= 2
+
+
 def test_differencing_uses_every_unit_and_balances():
     rnd = random.Random(8)
     sizes = Counter(rnd.randrange(1, 50) for _ in range(2000))
