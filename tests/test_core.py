@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import scratch
-from plumbline.operators import behavior, belief, bursts, components, evaluate, facts, graphs, hotkeys, prefix, relations, textsim, trailing
+from plumbline.operators import behavior, belief, bursts, components, evaluate, facts, graphs, hotkeys, models, prefix, relations, textsim, trailing
 from plumbline.sources import readers, writers
 from plumbline.streaming import weekly
 
@@ -179,6 +179,25 @@ def test_text_similarity(spark):
     assert {r.id: r.n_words for r in textsim.stylometry(docs).collect()} == {1: 3, 2: 3, 3: 3, 4: 0, 5: 0}
 
 
+def test_models_are_fitted_over_the_whole_grid(spark, monkeypatch):
+    made, d = [], "/root/testdata/sf0.001"
+
+    def small(cls):  # takes down what is asked for and fits a little of it
+        def make(**kw):
+            made.append(kw)
+            return cls(**kw | {"maxIter": 1})
+
+        return make
+
+    monkeypatch.setattr(models, "GBTClassifier", small(models.GBTClassifier))
+    monkeypatch.setattr(models, "MultilayerPerceptronClassifier", small(models.MultilayerPerceptronClassifier))
+    models.trees(spark, d), models.classifier_block(spark, d)
+    assert [(k["maxIter"], k["maxDepth"], k["stepSize"]) for k in made] == [(300, 5, 0.05)] * 2
+    made.clear()
+    assert models.wavelet_network(spark, d).count() == 1
+    assert [(k["layers"], k["maxIter"]) for k in made] == [([9 * (o + 1), h, 2], 600) for o in (2, 3, 4) for h in (64, 128)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "op/negative_polarity/deceptive_x/fold2").mkdir(parents=True)
     (tmp_path / "op/negative_polarity/deceptive_x/fold2/d_hilt_7.txt").write_text(" Bad stay \n")
