@@ -100,4 +100,4 @@ def containers(spark: SparkSession, d: str) -> DataFrame:
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id of documents that are larger than one container: those that `packed` had to cut."""
-    return pieces(sizes(spark, d), "doc_id", CAPACITY).filter("piece = 1").select("doc_id")
+    return containers(spark, d).filter("piece = 1").select("doc_id")

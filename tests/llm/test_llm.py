@@ -212,6 +212,13 @@ def test_p8(spark):
     assert p8.combination({5: 1, 4: 2, 3: 1}, 8) == {5: 1, 3: 1}
 
 
+def test_p8_found_is_read_off_the_containers(spark, folder, monkeypatch):
+    folder.write("documents", [(1, "soup"), (2, "soup " * 3000), (3, "")], "doc_id bigint, text string")
+    ran, plan = [], p8.plan
+    monkeypatch.setattr(p8, "plan", lambda *a: ran.append(1) or plan(*a))
+    assert [r.doc_id for r in p8.found(spark, folder.at).collect()] == [2] and ran
+
+
 def test_p9(spark, folder):
     people = ["Ann Loretti", "Bob Marchetti", "Cid Fonseca", "Dan Loretti"]
     rows = []
