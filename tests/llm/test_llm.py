@@ -99,6 +99,26 @@ def test_p1(spark, folder):
     assert sum(r.n_near for r in rep) == len(eval_ids) and sum(r.n_records for r in rep) == sum(v == "e" for v in side.values())
 
 
+def test_every_pair_of_copies_follows_from_links_and_classes(spark, folder):
+    same = ["the same eight words stand here again and again", "The same, eight words stand here AGAIN and again!"]
+    texts = {i: same[i % 2] for i in range(240)}
+    folder.write("reviews", reviews(texts, lambda i: f"fold{1 + i // 120}"), REVIEWS)
+    folder.write("yelp", [], YELP)
+    folder.write("fold_roles", [("fold1", "train"), ("fold2", "test")], "fold string, split_role string")
+
+    def rebuilt(links, rows):
+        of = {r.id: r.class_id for r in rows}
+        members = defaultdict(list)
+        for i, c in of.items():
+            members[c].append(i)
+        return {(min(x, y), max(x, y)) for a, b in {(of[r.id_a], of[r.id_b]) for r in links} for x in members[a] for y in members[b] if x != y}
+
+    got = p1.found(spark, folder.at).collect()
+    assert len(got) < 14400 and rebuilt(got, p1.members(spark, folder.at).collect()) == {(i, j) for i in range(120) for j in range(120, 240)}
+    got = p3.found(spark, folder.at).collect()
+    assert len(got) == 239 and rebuilt(got, p3.groups(spark, folder.at).collect()) == {(i, j) for i in range(240) for j in range(i + 1, 240)}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, *[None] * 4, "s", None, None, None)]])
 def test_empty_tables(spark, folder, rows):
     folder.write("reviews", rows, REVIEWS)
