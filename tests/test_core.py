@@ -158,6 +158,20 @@ def test_general_graphs(spark):
     assert graphs.louvain(none).count() == graphs.peeled(none).count() == relations.egonets(none).count() == 0
 
 
+def test_louvain_goes_on_until_no_gain_is_left(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(300)], "src bigint, dst bigint").coalesce(1)
+    c = graphs.louvain(e)
+    q, com = graphs.modularity(e, c), by(c, "node", "community")
+    deg, edge = defaultdict(int), defaultdict(int)
+    for i in range(300):
+        for x in (i, i + 1):
+            deg[com[x]] += 1
+        a, b = sorted((com[i], com[i + 1]))
+        edge[a, b] += 1
+    # No two communities gain by joining.
+    assert q > 0.885 and all(n / 300 <= deg[a] * deg[b] / (2 * 300 * 300) + 1e-9 for (a, b), n in edge.items() if a != b)
+
+
 def test_leave_one_out_by_key_and_by_edges_agree(r8):
     key = {r.review_id: (r.rating_mean_loo, r.rating_max_loo) for r in relations.neighbors(r8, "k_rur", ("rating",)).collect()}
     edge = {r.review_id: (r.mean_loo, r.max_loo) for r in relations.neighbors_on_edges(relations.edges(r8, "k_rur"), r8.select("review_id", F.col("rating").alias("x"))).collect()}
