@@ -40,8 +40,9 @@ _LOW40 = np.uint64((1 << 40) - 1)
 def sketched(df: DataFrame, least: int = LEAST) -> DataFrame:
     """(g, side, id, fp, sk) of `df` with (g int, side int, id bigint, text string): one row per record.
 
-    fp is the class: a hash of group, side and word sequence whose last bit is `side & 1`. sk is null for further
-    records of a class in the same batch of rows. Rows stored twice come out once per batch; `expanded` drops the rest.
+    fp is the class: a hash of group and word sequence whose last bit is replaced by `side & 1`, so that the same words on
+    both sides differ in that bit alone. sk is null for further records of a class in the same batch of rows. Rows stored
+    twice come out once per batch; `expanded` drops the rest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +51,7 @@ def sketched(df: DataFrame, least: int = LEAST) -> DataFrame:
             for gi, si, i, t in zip(*(b.column(n).to_pylist() for n in ("g", "side", "id", "text"))):
                 if i is None or len(w := S.words(t)) < least:
                     continue
-                fp = (xxhash.xxh3_64_intdigest(" ".join(w), gi * 2 + (si & 1)) & ~1 | (si & 1)) - (1 << 63)
+                fp = (xxhash.xxh3_64_intdigest(" ".join(w), gi) & ~1 | (si & 1)) - (1 << 63)
                 if new := fp not in seen:
                     seen.add(fp)
                     bags.append(w)
@@ -66,7 +67,7 @@ def sketched(df: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def candidates(sk: DataFrame, across: bool) -> DataFrame:
-    """Distinct (a, b), a < b: 40-bit ends of classes that share a band. across: only of different sides."""
+    """Distinct (a, b), a < b: 40-bit ends of classes that share a band. across: only of different sides and words."""
     n = sk.filter("sk is not null").count()
     parts = max(1, -(-n // BUCKET))
     pick = S.picks(BANDS, ROWS)
@@ -111,7 +112,8 @@ def candidates(sk: DataFrame, across: bool) -> DataFrame:
                 p = at[s : s + 200_000]
                 a, b = fp[p], fp[p + step]
                 if across:
-                    m = ((a ^ b) & np.uint64(1)).astype(bool)
+                    x = a ^ b  # 1: the same words, which the hash of the record has found
+                    m = ((x & np.uint64(1)) == 1) & (x > 1)
                     a, b = a[m], b[m]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])

@@ -13,39 +13,13 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.operators.components import components
-from plumbline.scratch import cut
+from plumbline.scratch import bounded, cut
 from plumbline.sources.tables import table
 
 BINS = 40
 SALTS = 64
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(business, reviewer) of each row of `yelp`; null and reviewer 0 bind nothing."""
-    y = table(spark, d, "yelp", "business_id", "reviewer_id")
-    return y.select(
-        F.col("business_id").cast("bigint").alias("b"),
-        F.when(F.col("reviewer_id") != 0, F.col("reviewer_id")).cast("bigint").alias("r"),
-    )
-
-
-def entities(pairs: DataFrame) -> DataFrame:
-    """(b, component): the component of each business, named by its least business.
-
-    Businesses are even, reviewers odd numbers in one graph; a business without reviewer is a component of its own.
-    """
-    b, r = F.col("b") * 2, F.col("r") * 2 + 1
-    comp = components(pairs.filter("b is not null").select(b.alias("src"), F.coalesce(r, b).alias("dst")).distinct())
-    comp = comp.filter(F.col("node").bitwiseAND(F.lit(1)) == 0).select((F.shiftright("node", 1)).alias("b"), "component")
-    least = comp.groupBy("component").agg(F.min("b").alias("least"))
-    return comp.join(least, "component").select("b", F.col("least").alias("component"))
-
-
-def found(spark: SparkSession, d: str) -> DataFrame:
-    """business_a, the least business that business_b must share its split with; only where it is smaller."""
-    return entities(_pairs(spark, d)).filter("component < b").select(F.col("component").alias("business_a"), F.col("b").alias("business_b"))
-
-
 def differencing(sizes: dict[int, int], bins: int = BINS) -> list[dict[int, int]]:
     """For each bin, how many units of each size: k-way largest differencing over a histogram {size: units}."""
     out: list[dict[int, int]] = [{s: n // bins for s, n in sizes.items() if n // bins} for _ in range(bins)]
@@ -127,23 +101,48 @@ def _shares(spark: SparkSession, d: str) -> dict[str, float]:
     return {r["split_role"]: float(r["share"] or 0.0) for r in rows}
 
 
+#: Kinds of nodes, modulo 3: businesses, reviewers, rows that are bound to nothing.
+BUSINESS, REVIEWER, ROW = range(3)
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """(review_id, node, other) of each row of `yelp`: the node it hangs on, and the one it binds to it (or the same)."""
+    y = table(spark, d, "yelp", "review_id", "business_id", "reviewer_id").select(
+        F.col("review_id").cast("bigint").alias("review_id"), (F.col("business_id").cast("bigint") * 3 + BUSINESS).alias("b"),
+        (F.when(F.col("reviewer_id") != 0, F.col("reviewer_id")).cast("bigint") * 3 + REVIEWER).alias("r"),
+    )
+    y = y.withColumn("node", F.coalesce("b", "r", F.col("review_id") * 3 + ROW))
+    return y.select("review_id", "node", F.coalesce(F.when(F.col("b").isNotNull(), F.col("r")), F.col("node")).alias("other"))
+
+
+def allotted(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(node, component, split_role) of every node of (node, other): components are the units that are balanced."""
+    comp = cut(components(rows.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct()))
+    # Rows per node first: a business that holds a third of the rows is one row before the join.
+    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(comp, "node").groupBy("component").agg(F.sum("n").alias("size"))
+    role = assigned(size.select(F.col("component").alias("unit"), "size"), shares)
+    return comp.join(role, comp["component"] == role["unit"]).select("node", "component", "split_role")
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    """business_a, the least business that business_b must share its split with; only where it is smaller.
+
+    Read off the units as they were allotted to splits: businesses of one unit have its split in common.
+    """
+    to = allotted(_rows(spark, d), _shares(spark, d)).filter(F.col("node") % 3 == BUSINESS)
+    to = cut(to.select("component", "split_role", F.floor(F.col("node") / 3).cast("bigint").alias("b")))
+    # A unit has one split, so this groups by unit; the split is there because the rows come out of the allotment.
+    least = to.groupBy("component", "split_role").agg(F.min("b").alias("a"))
+    return to.join(least, ["component", "split_role"]).filter("a < b").select(F.col("a").alias("business_a"), F.col("b").alias("business_b"))
+
+
 def split(spark: SparkSession, d: str) -> DataFrame:
     """review_id, split_role of every review of `yelp`: rows of one reviewer or business are in one split.
 
     A row without a business goes with its reviewer; without both (null, or reviewer 0) it is a unit of its own.
     """
-    y = table(spark, d, "yelp", "review_id", "business_id", "reviewer_id").select(
-        F.col("review_id").cast("bigint").alias("review_id"), F.col("business_id").cast("bigint").alias("b"),
-        F.when(F.col("reviewer_id") != 0, F.col("reviewer_id")).cast("bigint").alias("r"),
-    )
-    # Three kinds of nodes: businesses 0, reviewers 1, rows that are bound to nothing 2 (modulo 3).
-    node = F.coalesce(F.col("b") * 3, F.col("r") * 3 + 1, F.col("review_id") * 3 + 2)
-    y = y.withColumn("node", node).withColumn("other", F.coalesce(F.when(F.col("b").isNotNull(), F.col("r") * 3 + 1), F.col("node")))
-    comp = cut(components(y.select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct()))
-    # Rows per node first: a business that holds a third of the rows is one row before the join.
-    size = y.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(comp, "node").groupBy("component").agg(F.sum("n").alias("size"))
-    role = assigned(size.select(F.col("component").alias("unit"), "size"), _shares(spark, d))
-    to = comp.join(role, comp["component"] == role["unit"]).select("node", "split_role")
+    y = _rows(spark, d)
+    to = bounded(allotted(y, _shares(spark, d)).select("node", "split_role"))
     return y.select("review_id", "node").join(to, "node").groupBy("review_id").agg(F.min("split_role").alias("split_role"))
 
 

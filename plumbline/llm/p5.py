@@ -63,22 +63,32 @@ def _slots(marks: list[float]):
 
 def placed(items: DataFrame, key: str = "review_id", scores: tuple[str, ...] = SCORES) -> DataFrame:
     """key, for each score its n_known and n_larger (null if unknown): every item once."""
+    items = cut(items.select(key, *scores))
     p = percentiles(items, key, scores)
     cols = [F.max(F.when(F.col("s") == i, F.col(x))).alias(f"{x}_{i}") for i in range(len(scores)) for x in ("n_known", "n_larger")]
     return items.select(key).join(p.groupBy(key).agg(*cols), key, "left")
 
 
+def leximin(items: DataFrame, key: str = "review_id", scores: tuple[str, ...] = SCORES) -> DataFrame:
+    """(key, v, n_known_i, n_larger_i): v holds the percentiles of an item ascending, its weakest score first."""
+    p = placed(items, key, scores)
+    each = [F.coalesce(1 - F.col(f"n_larger_{i}") / F.col(f"n_known_{i}"), F.lit(UNKNOWN)) for i in range(len(scores))]
+    return p.withColumn("v", F.sort_array(F.array(*each)))
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
-    """review_id of reviews whose four scores are known and each in its top twentieth."""
-    p = placed(records(spark, d))
+    """review_id of reviews whose four scores are known and each in its top twentieth.
+
+    That is the head of the leximin order, the items whose weakest percentile is in the top; counts in whole numbers then
+    decide at its very edge, where a quotient may be rounded.
+    """
+    p = leximin(records(spark, d)).filter(F.col("v")[0] > 1 - TOP - 1e-9)
     top = functools.reduce(operator.and_, [F.col(f"n_larger_{i}") < TOP * F.col(f"n_known_{i}") for i in range(len(SCORES))])
     return p.filter(top).select("review_id")
 
 
 def ranking(spark: SparkSession, d: str) -> DataFrame:
     """review_id, place (1 the most suspicious), weakest (the least percentile of its scores)."""
-    p = placed(records(spark, d))
-    each = [F.coalesce(1 - F.col(f"n_larger_{i}") / F.col(f"n_known_{i}"), F.lit(UNKNOWN)) for i in range(len(SCORES))]
-    p = p.select("review_id", F.sort_array(F.array(*each)).alias("v"))
+    p = leximin(records(spark, d)).select("review_id", "v")
     order = [F.col("v")[i].desc() for i in range(len(SCORES))] + [F.col("review_id").asc()]
     return numbered(p, order, "place").select("review_id", "place", F.round(F.col("v")[0], 6).alias("weakest"))

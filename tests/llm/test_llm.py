@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from plumbline.llm import bpe, neardup, p1, p3, p4, p5, p7, p8, p9, sketch
+from plumbline.llm import bpe, neardup, p1, p3, p4, p5, p7, p8, p9, queries, sketch
+from tests.compare import differ
 
 REVIEWS = "id bigint, text string, is_fake boolean, polarity string, fold string, hotel string, source_dataset string, generator string, category string, rating double"
 YELP = "review_id bigint, reviewer_id bigint, business_id bigint, date string, text string"
@@ -88,6 +89,8 @@ def test_p3_equals_brute_force(spark, folder):
 
 def test_p1(spark, folder):
     texts = dict(enumerate(corpus(4, 150)))
+    long = next(t for t in texts.values() if len(sketch.words(t)) >= 8)
+    texts |= {500: long.upper(), 501: f"  {long}!", 502: long.replace(" ", "\n")}
     fold = lambda i: (" Fold1", "fold4 ", "FOLD5", None, "fold9")[i % 5]
     folder.write("reviews", reviews(texts, fold) + reviews({0: texts[0]}, fold), REVIEWS)
     folder.write("fold_roles", [("fold1", "train"), ("fold4", "validation"), ("fold5", "test")], "fold string, split_role string")
@@ -97,6 +100,18 @@ def test_p1(spark, folder):
     rep = p1.report(spark, folder.at).collect()
     eval_ids = {i for p in want for i in p if side[i] == "e"}
     assert sum(r.n_near for r in rep) == len(eval_ids) and sum(r.n_records for r in rep) == sum(v == "e" for v in side.values())
+    canon = {i: " ".join(sketch.words(t)) for i, t in texts.items() if len(sketch.words(t)) >= 8}
+    train = {c for i, c in canon.items() if side[i] == "t"}
+    same = [i for i, c in canon.items() if side[i] == "e" and c in train]
+    assert same and sum(r.n_same for r in rep) == len(same)
+
+
+def test_p1_finds_equal_records_by_the_hash_alone(spark, folder, monkeypatch):
+    folder.write("reviews", reviews({1: "These eight words stand on both sides, yes", 2: "these EIGHT words stand on both sides... yes", 3: "too short"}, lambda i: f"fold{i}"), REVIEWS)
+    folder.write("fold_roles", [("fold1", "train"), ("fold2", "test"), ("fold3", "test")], "fold string, split_role string")
+    monkeypatch.setattr(neardup, "candidates", lambda sk, across: sk.select(sk.fp.alias("a"), sk.fp.alias("b")).filter("false"))
+    assert [(r.id_a, r.id_b) for r in p1.found(spark, folder.at).collect()] == [(1, 2)]
+    assert sorted((r.n_records, r.n_same, r.n_near, r.n_links) for r in p1.report(spark, folder.at).collect()) == [(2, 1, 1, 1)]
 
 
 def test_every_pair_of_copies_follows_from_links_and_classes(spark, folder):
@@ -119,6 +134,11 @@ def test_every_pair_of_copies_follows_from_links_and_classes(spark, folder):
     assert len(got) == 239 and rebuilt(got, p3.groups(spark, folder.at).collect()) == {(i, j) for i in range(240) for j in range(i + 1, 240)}
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_equal_to_sql(spark, name):
+    assert differ(spark, "/root/testdata/sf0.001", queries.QUERIES[name], queries.SQL[name]) == ""
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, *[None] * 4, "s", None, None, None)]])
 def test_empty_tables(spark, folder, rows):
     folder.write("reviews", rows, REVIEWS)
@@ -160,6 +180,28 @@ def test_p4(spark, folder):
         assert all(len(v) == 1 for v in seen.values())
 
 
+@pytest.mark.parametrize("query, tab, key", [(p4.split, "yelp", "review_id"), (p4.generator_split, "reviews", "id")])
+def test_p4_shares_of_the_tables(spark, query, tab, key):
+    d, n = "/root/testdata/sf0.01", Counter()
+    role = {r[key]: r.split_role for r in query(spark, d).collect()}
+    for r in spark.read.parquet(f"{d}/{tab}.parquet").select(key).collect():
+        n[role[r[key]]] += 1
+    want = {r.split_role: r.share for r in spark.read.parquet(f"{d}/split_plan.parquet").collect()}
+    print(n, want)
+    assert all(abs(n[k] / n.total() - v) < 0.02 for k, v in want.items())
+
+
+def test_found_come_through_the_operators(spark, folder, monkeypatch):
+    folder.write("yelp", [(1, 1, 1, None, None), (2, 1, 2, None, None), (3, 2, 3, None, None)], YELP)
+    folder.write("split_plan", [("train", 0.8), ("test", 0.2)], "split_role string, share double")
+    ran, differencing = [], p4.differencing
+    monkeypatch.setattr(p4, "differencing", lambda *a: ran.append(1) or differencing(*a))
+    assert [(r.business_a, r.business_b) for r in p4.found(spark, folder.at).collect()] == [(1, 2)] and ran
+    folder.write("graph_speagle", [(i, *[float(i)] * 4) for i in range(100)], "review_id bigint, " + ", ".join(f"{c} double" for c in p5.SCORES))
+    order = [r.review_id for r in p5.ranking(spark, folder.at).orderBy("place").collect()]
+    assert {r.review_id for r in p5.found(spark, folder.at).collect()} == set(order[:5])
+
+
 def test_p4_records_without_generator_are_units_of_their_own(spark, folder):
     folder.write("reviews", reviews({i: "x" for i in range(100)}, gen=lambda i: (" A", "a ", None)[i % 3]), REVIEWS)
     folder.write("split_plan", [("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_role string, share double")
