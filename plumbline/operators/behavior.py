@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.operators.facts import facts, sql
+from plumbline.operators.facts import beside, facts, sql
+from plumbline.scratch import cut
 from plumbline.sources.tables import table
 
 #: Upper ends of the bins of gaps in days; each bin is open to the left.
@@ -16,8 +17,8 @@ def r6(c: Column | str) -> Column:
 
 def business_stats(r: DataFrame) -> DataFrame:
     """(b, business_n_reviews, business_rating_mean, business_rating_std, business_singleton_reviewer_ratio)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("u"))
-    return r.select("b", "u", "rating").withColumn("one", (n == 1).cast("double")).groupBy("b").agg(
+    n = beside(r.select("b", "u", "rating"), "u", F.count(F.lit(1)).alias("n"))
+    return n.withColumn("one", (F.col("n") == 1).cast("double")).groupBy("b").agg(
         F.count(F.lit(1)).alias("business_n_reviews"), r6(F.avg("rating")).alias("business_rating_mean"),
         r6(F.coalesce(F.stddev_samp("rating"), F.lit(0.0))).alias("business_rating_std"), r6(F.avg("one")).alias("business_singleton_reviewer_ratio"),
     )
@@ -41,11 +42,17 @@ def rating_entropy(r: DataFrame) -> DataFrame:
     return entropy(r.groupBy("u", "rating").agg(F.count(F.lit(1)).alias("n")), "u").select("u", r6("h").alias("reviewer_erd"))
 
 
+def active_days(r: DataFrame) -> DataFrame:
+    """(u, day, n, gap): reviews of a reviewer on a day, days since the one before. One row a day, however many reviews."""
+    d = r.groupBy("u", "day").agg(F.count(F.lit(1)).alias("n"))
+    return d.withColumn("gap", F.datediff("day", F.lag("day").over(Window.partitionBy("u").orderBy("day"))))
+
+
 def gap_entropy(r: DataFrame) -> DataFrame:
-    gap = F.datediff("day", F.lag("day").over(Window.partitionBy("u").orderBy("day", "review_id")))
-    g = r.select("u", gap.alias("gap")).filter("gap is not null").select("u", gap_bin(F.col("gap")).alias("bin"))
-    h = entropy(g.groupBy("u", "bin").agg(F.count(F.lit(1)).alias("n")), "u")
-    return r.select("u").distinct().join(h, "u", "left").select("u", r6(F.coalesce("h", F.lit(0.0))).alias("reviewer_etg"))
+    """(u, reviewer_etg): a day's first review has the gap to the day before, the others 0."""
+    gaps = F.array(F.struct(gap_bin(F.col("gap")).alias("bin"), F.when(F.col("gap").isNotNull(), 1).alias("n")), F.struct(gap_bin(F.lit(0)).alias("bin"), (F.col("n") - 1).alias("n")))
+    g = active_days(r).select("u", F.inline(gaps)).filter("n > 0").groupBy("u", "bin").agg(F.sum("n").alias("n"))
+    return r.select("u").distinct().join(entropy(g, "u"), "u", "left").select("u", r6(F.coalesce("h", F.lit(0.0))).alias("reviewer_etg"))
 
 
 def max_per_day(r: DataFrame) -> DataFrame:
@@ -56,7 +63,7 @@ def max_per_day(r: DataFrame) -> DataFrame:
 
 
 def reviewer_stats(r: DataFrame) -> DataFrame:
-    dev = r.withColumn("rd", F.abs(F.col("rating") - F.avg("rating").over(Window.partitionBy("b"))))
+    dev = beside(r.select("u", "b", "rating", "day"), "b", F.avg("rating").alias("mean")).withColumn("rd", F.abs(F.col("rating") - F.col("mean")))
     share = lambda c: r6(F.avg(F.when(c, 1.0).otherwise(0.0)))
     life = F.datediff(F.max("day"), F.min("day"))
     base = dev.groupBy("u").agg(
@@ -70,22 +77,33 @@ def reviewer_stats(r: DataFrame) -> DataFrame:
     )
 
 
-def temporal_position(r: DataFrame) -> DataFrame:
-    """(review_id, temporal_position): place among the reviews of the business, 0 first to 1 last, 0.5 alone."""
+def position(r: DataFrame) -> DataFrame:
+    """`r` with temporal_position: place among the reviews of the business, 0 first to 1 last, 0.5 alone.
+
+    What came on earlier days is a running sum over days; only the reviews of one business and day are ordered by rows.
+    """
+    d = r.groupBy("b", "day").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("b")
-    rank, n = F.row_number().over(w.orderBy("day", "review_id")), F.count(F.lit(1)).over(w)
-    return r.select("review_id", r6(F.when(n == 1, 0.5).otherwise((rank - 1) / (n - 1))).alias("temporal_position"))
+    d = d.select("b", "day", (F.sum("_n").over(w.orderBy("day")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("b", "day").orderBy("review_id")) - 1
+    r = r.join(d, ["b", "day"]).withColumn("_i", place)
+    return r.withColumn("temporal_position", r6(F.when(F.col("_all") == 1, 0.5).otherwise((F.col("_before") + F.col("_i")) / (F.col("_all") - 1)))).drop("_before", "_all", "_i")
+
+
+def temporal_position(r: DataFrame) -> DataFrame:
+    """(review_id, temporal_position), see `position`."""
+    return position(r.select("review_id", "b", "day")).select("review_id", "temporal_position")
 
 
-def text_features(t: DataFrame) -> DataFrame:
-    """(review_id, text_length_words, uppercase_ratio, exclamation_ratio, lexical_richness); null text counts as empty."""
+def text_features(t: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., text_length_words, uppercase_ratio, exclamation_ratio, lexical_richness); null text counts as empty."""
     x = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
     upper, alpha = F.regexp_count(x, F.lit("[A-Z]")), F.regexp_count(x, F.lit("[A-Za-z]"))
     bang = F.length(x) - F.length(F.replace(x, F.lit("!"), F.lit("")))
     n = F.size(words)
     return t.select(
-        "review_id", n.alias("text_length_words"), r6(F.coalesce(F.try_divide(upper, alpha), F.lit(0.0))).alias("uppercase_ratio"),
+        *(keep or ["review_id"]), n.alias("text_length_words"), r6(F.coalesce(F.try_divide(upper, alpha), F.lit(0.0))).alias("uppercase_ratio"),
         r6(F.coalesce(F.try_divide(bang, F.length(x)), F.lit(0.0))).alias("exclamation_ratio"),
         r6(F.coalesce(F.try_divide(F.size(F.array_distinct(F.transform(words, F.lower))), n), F.lit(0.0))).alias("lexical_richness"),
     )
@@ -93,8 +111,8 @@ def text_features(t: DataFrame) -> DataFrame:
 
 def review_level(r: DataFrame) -> DataFrame:
     """(review_id, rating_deviation, singleton, rating_extremity)."""
-    mean, n = F.avg("rating").over(Window.partitionBy("b")), F.count(F.lit(1)).over(Window.partitionBy("u"))
-    return r.select("review_id", r6(F.abs(F.col("rating") - mean)).alias("rating_deviation"), (n == 1).cast("int").alias("singleton"), r6(F.abs(F.col("rating") - 3) / 2).alias("rating_extremity"))
+    r = beside(beside(r.select("review_id", "u", "b", "rating"), "b", F.avg("rating").alias("mean")), "u", F.count(F.lit(1)).alias("n"))
+    return r.select("review_id", r6(F.abs(F.col("rating") - F.col("mean"))).alias("rating_deviation"), (F.col("n") == 1).cast("int").alias("singleton"), r6(F.abs(F.col("rating") - 3) / 2).alias("rating_extremity"))
 
 
 def yelp_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -103,20 +121,26 @@ def yelp_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block1(r: DataFrame, texts: DataFrame) -> DataFrame:
-    """The 20 features of each review: those of its reviewer, of its business and its own."""
-    rows = r.select("review_id", "u", "b")
-    return (
-        rows.join(reviewer_stats(r), "u").join(business_stats(r).drop("business_rating_mean"), "b").join(review_level(r), "review_id").join(temporal_position(r), "review_id")
-        .join(text_features(rows.select("review_id").join(texts, "review_id", "left")), "review_id").drop("u", "b")
-    )
+    """The 20 features of each review: those of its reviewer, of its business and its own.
+
+    Texts are reduced to their four numbers before anything moves; rows then move once by review, reviewer and business.
+    """
+    rows = r.select("review_id", "u", "b", "rating", "day").join(text_features(texts), "review_id", "left").na.fill(0, TEXT)
+    mean = r.groupBy("b").agg(F.avg("rating").alias("_mean"))
+    rows = position(rows).join(business_stats(r).drop("business_rating_mean").join(mean, "b"), "b").join(reviewer_stats(r), "u")
+    own = [r6(F.abs(F.col("rating") - F.col("_mean"))).alias("rating_deviation"), (F.col("reviewer_n_reviews") == 1).cast("int").alias("singleton"), r6(F.abs(F.col("rating") - 3) / 2).alias("rating_extremity")]
+    return rows.select("*", *own).drop("u", "b", "rating", "day", "_mean")
 
 
-Q = lambda f, **k: lambda s, d: f(facts(s, d, **k))
+TEXT = ["text_length_words", "uppercase_ratio", "exclamation_ratio", "lexical_richness"]
+#: A query over the facts: written once (Q) where an operator reads them several times, else read as they are (Q1).
+Q = lambda f, **k: lambda s, d: f(cut(facts(s, d, **k)))
+Q1 = lambda f, **k: lambda s, d: f(facts(s, d, **k))
 QUERIES = {
-    "a01_business_stats": Q(business_stats), "a02_a05_reviewer_stats": Q(reviewer_stats), "a06_rating_entropy": Q(rating_entropy), "a07_gap_entropy": Q(gap_entropy),
-    "a04_max_per_day": Q(max_per_day), "w03_temporal_position": Q(temporal_position), "f08_review_level": Q(review_level),
+    "a01_business_stats": Q(business_stats), "a02_a05_reviewer_stats": Q(reviewer_stats), "a06_rating_entropy": Q1(rating_entropy), "a07_gap_entropy": Q(gap_entropy),
+    "a04_max_per_day": Q1(max_per_day), "w03_temporal_position": Q(temporal_position), "f08_review_level": Q(review_level),
     "f02_f05_text_features": lambda s, d: text_features(yelp_texts(s, d)),
-    "block1_features": lambda s, d: block1(facts(s, d), yelp_texts(s, d)),
+    "block1_features": lambda s, d: block1(cut(facts(s, d)), yelp_texts(s, d)),
 }
 
 _BIZ = "select b, count(*) business_n_reviews, round(avg(rating), 6) business_rating_mean, round(coalesce(stddev_samp(rating), 0), 6) business_rating_std, round(avg(one), 6) business_singleton_reviewer_ratio from (select *, (count(*) over (partition by u) = 1)::int one from r) group by b"

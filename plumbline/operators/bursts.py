@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.operators.behavior import Q, r6
+from plumbline.operators.behavior import Q, Q1, r6
 from plumbline.operators.facts import sql
+from plumbline.operators.prefix import quantiles
+from plumbline.scratch import cut
 
 THRESHOLD = 2.0
 
@@ -55,9 +57,19 @@ def peak_distance(r: DataFrame) -> DataFrame:
 
 
 def alignment(r: DataFrame) -> DataFrame:
-    d = peak_distance(r).select(F.abs("distance").alias("a"))
+    """(n_businesses, median_distance, within_30, within_90): how far peaks are from campaigns, in days."""
+    d = cut(peak_distance(r).select(F.lit(0).alias("all"), F.abs("distance").alias("a")))
     share = lambda n: r6(F.avg(F.when(F.col("a") <= n, 1.0).otherwise(0.0)))
-    return d.agg(F.count(F.lit(1)).alias("n_businesses"), F.percentile("a", F.lit(0.5)).alias("median_distance"), share(30).alias("within_30"), share(90).alias("within_90"))
+    mid = quantiles(d, ["all"], "a", [0.5]).select(F.col("v").alias("median_distance"))
+    # One row each.
+    return d.agg(F.count(F.lit(1)).alias("n_businesses"), share(30).alias("within_30"), share(90).alias("within_90")).join(mid, F.lit(True), "left")
+
+
+def unavailable(r: DataFrame) -> DataFrame:
+    """(relation, status, peak_week, peak_z): of graphs without times no burst can be told; typed, and empty of values."""
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    rows = r.sparkSession.createDataFrame([("rur",), ("rsr",), ("rtr",)], "relation string")
+    return rows.select("relation", F.lit("unavailable").alias("status"), null("date", "peak_week"), null("double", "peak_z"))
 
 
 def coburst(r: DataFrame, threshold: float = THRESHOLD, with_rating: bool = False) -> DataFrame:
@@ -74,9 +86,10 @@ def participation(r: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "j11_weekly_counts": Q(weekly), "w06_burst_z": Q(lambda r: review_burst(r).select("review_id", r6("z").alias("z"))), "w07_peak_week": Q(peaks), "w09_campaign_proximity": Q(proximity),
+    "j11_weekly_counts": Q1(weekly), "w06_burst_z": Q(lambda r: review_burst(r).select("review_id", r6("z").alias("z"))), "w07_peak_week": Q(peaks), "w09_campaign_proximity": Q(proximity),
     "g18_peak_distance": Q(peak_distance), "a13_alignment": Q(alignment), "g13_coburst": Q(coburst), "g13_coburst_rating": Q(lambda r: coburst(r, with_rating=True)),
-    "a22_burst_participation": Q(participation), "a12_campaign_dates": Q(campaigns),
+    "a22_burst_participation": Q(participation), "a12_campaign_dates": Q1(campaigns),
+    "g24_no_times": Q1(unavailable),
 }
 SPINE = "wk as (select s.b, s.week, coalesce(c.n, 0) n from (select b, unnest(generate_series(min(week)::timestamp, max(week)::timestamp, interval 7 day))::date as week from r group by b) s left join (select b, week, count(*) n from r group by 1, 2) c on c.b = s.b and c.week = s.week)"
 ZS = "zs as (select b, week, n, case when stddev_pop(n) over (partition by b) < 1e-12 then 0 else (n - avg(n) over (partition by b)) / stddev_pop(n) over (partition by b) end z from wk)"
@@ -93,4 +106,5 @@ SQL = {
     "g13_coburst_rating": sql("select review_id, case when round(z, 9) >= 2 then b || '|' || (rating * 10)::int || '|' || week else 'alone|' || review_id end grp from rz", SPINE, ZS, RZ),
     "a22_burst_participation": sql("select b, round(avg(z), 6) mean_z, round(max(z), 6) max_z, round(avg((round(z, 9) >= 2)::int), 6) share_in_burst from rz group by b", SPINE, ZS, RZ),
     "a12_campaign_dates": sql("select * from ca", _CA),
+    "g24_no_times": "select unnest(['rur', 'rsr', 'rtr']) relation, 'unavailable' status, null::date peak_week, null::double peak_z",
 }

@@ -7,7 +7,7 @@ cliques, so a key stands for all their edges and no edge is made unless asked fo
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.operators.trailing import day_of
 from plumbline.sources.tables import table
@@ -38,6 +38,15 @@ def keyed(r: DataFrame) -> DataFrame:
     })
 
 
+def beside(r: DataFrame, key: str | list[str], *aggs: Column) -> DataFrame:
+    """`r` with aggregates over the rows of its `key` beside each row. Rows with a null key go.
+
+    Sums per task, one row per key, then a join, whose hot keys the engine splits; a window would sort all rows of a key
+    in one task.
+    """
+    return r.join(r.groupBy(key).agg(*aggs), key)
+
+
 _ALL = r"""
 l as (select review_id, reviewer_id, business_id, rating, label, trim(date) date, loaded_at,
   row_number() over (partition by review_id order by loaded_at desc nulls last, rating desc nulls last, trim(date) desc nulls last, business_id desc nulls last, reviewer_id desc nulls last, label desc nulls last) i

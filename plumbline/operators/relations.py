@@ -1,17 +1,22 @@
 """Relations between reviews as grouping keys, community scores, neighbour aggregates and anomaly scores on them.
 
-A relation that is a union of cliques is its key: sums over a window of the key replace sums over neighbours, and no
-edge is made. `edges` makes those of a relation only where a query is about edges.
+A relation that is a union of cliques is its key: sums per key, joined back, replace sums over neighbours, and no edge is
+made. The union of all three relations has such a form too: reviews of one week, business and rating also share business
+and rating, so it is the union of the reviewer's clique U and the clique S of business and rating, which meet in the
+clique M of all three. What is summed over neighbours is U + S - M, and the greatest is that of U and S. `edges` makes the
+pairs of a relation only where a query is about pairs.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from plumbline.operators.behavior import Q, r6
+from plumbline.operators.behavior import Q, Q1, r6
 from plumbline.operators.components import components
-from plumbline.operators.facts import RELATIONS, facts, sql
+from plumbline.operators.facts import RELATIONS, beside, facts, sql
+from plumbline.operators.prefix import quantiles
 from plumbline.scratch import cut, numbered
 
 KEYS = [f"k_{x}" for x in RELATIONS]
@@ -25,19 +30,33 @@ def long_keys(r: DataFrame, *more: str) -> DataFrame:
 
 def communities(r: DataFrame) -> DataFrame:
     """(review_id, c_*): the community of a review in each relation, named by its least review."""
-    return r.select("review_id", *[F.min("review_id").over(Window.partitionBy(k)).alias("c_" + k[2:]) for k in KEYS])
+    x = r.select("review_id", *KEYS)
+    for k in KEYS:
+        x = x.join(r.groupBy(k).agg(F.min("review_id").alias("c_" + k[2:])), k)
+    return x.drop(*KEYS)
+
+
+def labels(r: DataFrame, k: str = "k_rtr") -> DataFrame:
+    """(review_id, label): communities as numbers from 0 in the order of their least review; a review without one fails."""
+    c = r.select("review_id", k).join(r.groupBy(k).agg(F.min("review_id").alias("c")), k, "left")
+    code = numbered(c.select("c").filter("c is not null").distinct(), ["c"], "n")
+    return c.join(code, "c", "left").select("review_id", F.when(F.col("n").isNull(), F.raise_error(F.lit("a review has no community"))).otherwise(F.col("n") - 1).cast("bigint").alias("label"))
 
 
 def group_sizes(r: DataFrame) -> DataFrame:
-    g = long_keys(r).groupBy("relation", "k").agg(F.count(F.lit(1)).alias("s"))
+    g = cut(long_keys(r).groupBy("relation", "k").agg(F.count(F.lit(1)).alias("s")))
+    mid = quantiles(g, ["relation"], "s", [0.5]).select("relation", F.col("v").alias("median_size"))  # three rows
     return g.groupBy("relation").agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("s") * (F.col("s") - 1)).alias("n_edges"), F.max("s").alias("max_size"),
-        F.percentile("s", F.lit(0.5)).alias("median_size"), r6(F.avg((F.col("s") == 1).cast("double"))).alias("singleton_share"),
-    )
+        r6(F.avg((F.col("s") == 1).cast("double"))).alias("singleton_share"),
+    ).join(mid, "relation")
 
 
 def degree(r: DataFrame) -> DataFrame:
-    return r.select("review_id", *[(F.count(F.lit(1)).over(Window.partitionBy(k)) - 1).alias("d_" + k[2:]) for k in KEYS])
+    x = r.select("review_id", *KEYS)
+    for k in KEYS:
+        x = x.join(r.groupBy(k).agg((F.count(F.lit(1)) - 1).alias("d_" + k[2:])), k)
+    return x.drop(*KEYS)
 
 
 def base_rate(r: DataFrame) -> DataFrame:
@@ -46,12 +65,12 @@ def base_rate(r: DataFrame) -> DataFrame:
 
 def loo(r: DataFrame) -> DataFrame:
     """(review_id, y, loo_*): share of fakes among the others of the group; alone, the base rate."""
-    out = []
+    x, out = r.select("review_id", "y", *KEYS), []
     for k in KEYS:
-        w = Window.partitionBy(k)
-        n = F.count(F.lit(1)).over(w)
-        out.append(F.when(n > 1, (F.sum("y").over(w) - F.col("y")) / (n - 1)).otherwise(F.col("base")).alias("loo_" + k[2:]))
-    return r.crossJoin(base_rate(r)).select("review_id", "y", *out)
+        x = x.join(r.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_{k}"), F.sum("y").alias(f"s_{k}")), k)
+        n = F.col(f"n_{k}")
+        out.append(F.when(n > 1, (F.col(f"s_{k}") - F.col("y")) / (n - 1)).otherwise(F.col("base")).alias("loo_" + k[2:]))
+    return x.crossJoin(base_rate(r)).select("review_id", "y", *out)
 
 
 def in_train(r: DataFrame, share: float = 0.7) -> Column:
@@ -62,13 +81,13 @@ def in_train(r: DataFrame, share: float = 0.7) -> Column:
 def loo_train(r: DataFrame) -> DataFrame:
     """(review_id, train, loo_*): as `loo`, but only labels of training rows are seen; a training row leaves itself out."""
     r = r.withColumn("train", in_train(r).cast("int")).withColumn("ty", F.col("train") * F.col("y"))
-    base = F.broadcast(r.filter("train = 1").agg(F.avg("y").alias("base")))
-    out = []
+    base = F.broadcast(r.filter("train = 1").agg(F.avg("y").alias("base")))  # one row
+    x, out = r.select("review_id", "train", "ty", *KEYS), []
     for k in KEYS:
-        w = Window.partitionBy(k)
-        n, s = F.sum("train").over(w) - F.col("train"), F.sum("ty").over(w) - F.col("ty")
-        out.append(F.when(n > 0, s / n).otherwise(F.col("base")).alias("loo_" + k[2:]))
-    return r.crossJoin(base).select("review_id", "train", *out)
+        x = x.join(r.groupBy(k).agg(F.sum("train").alias(f"n_{k}"), F.sum("ty").alias(f"s_{k}")), k)
+        n, t = F.col(f"n_{k}") - F.col("train"), F.col(f"s_{k}") - F.col("ty")
+        out.append(F.when(n > 0, t / n).otherwise(F.col("base")).alias("loo_" + k[2:]))
+    return x.crossJoin(base).select("review_id", "train", *out)
 
 
 def neighbors(r: DataFrame, k: str, cols: tuple[str, ...]) -> DataFrame:
@@ -93,8 +112,13 @@ def neighbors(r: DataFrame, k: str, cols: tuple[str, ...]) -> DataFrame:
     return j.select("review_id", "group_size", *out)
 
 
-def laplacian(r: DataFrame, k: str, h: str) -> DataFrame:
-    return r.select("review_id", r6(F.col(h) - F.avg(h).over(Window.partitionBy(k))).alias("lh"))
+def laplacian(r: DataFrame, ks: list[str], hs: list[str]) -> DataFrame:
+    """(review_id, hs..., {relation}_{h}_l): h less the mean of its group, itself included, of each relation and column."""
+    x = r.select("review_id", *hs, *ks)
+    for k in ks:
+        x = x.join(r.groupBy(k).agg(*[F.avg(h).alias(f"_{h}") for h in hs]), k)
+        x = x.withColumns({f"{k[2:]}_{h}_l": F.col(h) - F.col(f"_{h}") for h in hs}).drop(*[f"_{h}" for h in hs])
+    return x.drop(*ks)
 
 
 def beta_thetas(d: int) -> list[list[float]]:
@@ -105,11 +129,18 @@ def beta_thetas(d: int) -> list[list[float]]:
     ]
 
 
-def wavelets(r: DataFrame, k: str, h: str, d: int = 2) -> DataFrame:
-    """(review_id, w0..wd): on cliques L is a projector, so L^k h = L h for every k >= 1 and one window does."""
-    lh = F.col(h) - F.avg(h).over(Window.partitionBy(k))
-    r = r.select("review_id", F.col(h).cast("double").alias("h"), lh.alias("lh"))
-    return r.select("review_id", *[r6(t[0] * F.col("h") + sum(t[1:]) * F.col("lh")).alias(f"w{p}") for p, t in enumerate(beta_thetas(d))])
+def wavelets(r: DataFrame, ks: list[str], hs: list[str], d: int = 2) -> DataFrame:
+    """(review_id, {relation}_{h}_w0..wd, {relation}_{h}_low): beta wavelets of order d and the low-pass (I - L/2)^d.
+
+    On cliques L is a projector, so L^k h = L h for every k >= 1, and one mean per group does for all orders.
+    """
+    x, out = laplacian(r, ks, hs), []
+    for k in ks:
+        for h in hs:
+            own, lh = F.col(h).cast("double"), F.col(f"{k[2:]}_{h}_l")
+            out += [(t[0] * own + sum(t[1:]) * lh).alias(f"{k[2:]}_{h}_w{p}") for p, t in enumerate(beta_thetas(d))]
+            out.append((own - (1 - 0.5**d) * lh).alias(f"{k[2:]}_{h}_low"))
+    return x.select("review_id", *out)
 
 
 def oddball(r: DataFrame) -> DataFrame:
@@ -145,7 +176,7 @@ def fraudar(r: DataFrame) -> DataFrame:
 
 def survival(r: DataFrame, k: str = "k_rtr") -> DataFrame:
     """(review_id, place): the order in which greedy peeling removes reviews of cliques: by size, then id."""
-    s = r.select("review_id", F.count(F.lit(1)).over(Window.partitionBy(k)).alias("s"))
+    s = beside(r.select("review_id", k), k, F.count(F.lit(1)).alias("s")).select("review_id", "s")
     return numbered(s, ["s", "review_id"], "place").select("review_id", "place")
 
 
@@ -153,24 +184,110 @@ def same_day(r: DataFrame) -> DataFrame:
     return r.withColumn("k_rud", F.concat_ws("|", "u", F.col("day").cast("string")))
 
 
+BLOCK = 1000
+
+
 def edges(r: DataFrame, k: str) -> DataFrame:
-    """Distinct (src, dst), src < dst, of reviews with the same key: only for relations of small groups."""
-    a = r.select(k, F.col("review_id").alias("src"))
-    return a.join(r.select(k, F.col("review_id").alias("dst")), k).filter("src < dst").select("src", "dst")
+    """Distinct (src, dst), src < dst, of reviews with the same key.
+
+    A group is cut into blocks of about BLOCK rows by a hash, and each pair of its blocks is a join key of its own, so
+    that no task holds a whole group. The pairs themselves are what is asked for: as many as the group has.
+    """
+    x = beside(r.select("review_id", k), k, F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    x = x.select(k, "nb", "review_id", F.pmod(F.xxhash64("review_id"), F.col("nb")).cast("int").alias("blk"))
+    a = x.select(k, F.col("review_id").alias("src"), F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"))
+    b = x.select(k, F.col("review_id").alias("dst"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), "blk")).alias("i"))
+    p = a.join(b, [k, "i", "j"]).filter((F.col("i") < F.col("j")) & (F.col("src") != F.col("dst")) | (F.col("src") < F.col("dst")))
+    return p.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def both_keys(r: DataFrame) -> DataFrame:
+    """`r` with k_m, the key of what the cliques of reviewer and of business and rating have in common."""
+    return r.withColumn("k_m", F.concat_ws("|", "k_rur", "k_rsr"))
 
 
 def union_edges(r: DataFrame) -> DataFrame:
-    r = same_day(r)
-    return edges(r, "k_rtr").unionByName(edges(r, "k_rud")).distinct()
+    """Distinct (src, dst) of the union of the three relations, that of the reviewer's and of business and rating."""
+    return edges(r, "k_rur").unionByName(edges(r, "k_rsr")).distinct()
+
+
+def union_counts(r: DataFrame) -> DataFrame:
+    """(review_id, u_n, s_n, m_n, degree) in the union of the three relations: sizes of the cliques and their union."""
+    r = both_keys(r)
+    x = r.select("review_id", "k_rur", "k_rsr", "k_m")
+    for k, n in (("k_rur", "u_n"), ("k_rsr", "s_n"), ("k_m", "m_n")):
+        x = x.join(r.groupBy(k).agg(F.count(F.lit(1)).alias(n)), k)
+    return x.select("review_id", "u_n", "s_n", "m_n", (F.col("u_n") + F.col("s_n") - F.col("m_n") - 1).alias("degree"))
+
+
+def union_degrees(r: DataFrame) -> DataFrame:
+    """(review_id, degree) of the union by OR of the three relations, without its edges."""
+    return union_counts(r).select("review_id", "degree")
+
+
+def weighted_degrees(r: DataFrame) -> DataFrame:
+    """(review_id, strength) of the weighted union: each relation's edges weigh one over the number of its entries."""
+    d = cut(degree(r))
+    t = F.broadcast(d.agg(*[F.sum(f"d_{x}").alias(f"t_{x}") for x in RELATIONS]))  # one row
+    parts = [F.coalesce(F.try_divide(f"d_{x}", f"t_{x}"), F.lit(0.0)) for x in RELATIONS]
+    return d.crossJoin(t).select("review_id", F.round(sum(parts[1:], parts[0]), 9).alias("strength"))
+
+
+def union_neighbors(r: DataFrame, h: str) -> DataFrame:
+    """(review_id, group_size, mean_loo, std_loo, max_loo, deviation) of h over the neighbours in the union."""
+    r = both_keys(r.withColumn("h", F.col(h).cast("double")))
+    x = r.select("review_id", "h", "k_rur", "k_rsr", "k_m")
+    for k in ("k_rur", "k_rsr", "k_m"):
+        sums = [F.count(F.lit(1)).alias(f"{k}_n"), F.sum("h").alias(f"{k}_s"), F.sum(F.col("h") * F.col("h")).alias(f"{k}_q")]
+        x = x.join(r.groupBy(k).agg(*sums, F.max(F.struct("h", "review_id")).alias(f"{k}_t")), k)
+    # The greatest of the others: of the group, unless it is the review's own; then the second, from the rest of the group.
+    for k in ("k_rur", "k_rsr"):
+        rest = x.filter(F.col("review_id") != F.col(f"{k}_t.review_id")).groupBy(k).agg(F.max("h").alias(f"{k}_2"))
+        x = x.join(rest, k, "left")
+    of = lambda c: F.col(f"k_rur_{c}") + F.col(f"k_rsr_{c}") - F.col(f"k_m_{c}")
+    n, h_ = of("n") - 1, F.col("h")
+    mean = F.when(n > 0, (of("s") - h_) / n)
+    var = F.greatest(F.lit(0.0), (of("q") - h_ * h_) / n - mean * mean)
+    top = F.greatest(*[F.when(F.col("review_id") == F.col(f"{k}_t.review_id"), F.col(f"{k}_2")).otherwise(F.col(f"{k}_t.h")) for k in ("k_rur", "k_rsr")])
+    return x.select("review_id", (n + 1).alias("group_size"), r6(mean).alias("mean_loo"), F.when(n > 0, F.round(F.sqrt(var), 5)).alias("std_loo"), F.when(n > 0, r6(top)).alias("max_loo"), r6(h_ - mean).alias("deviation"))
+
+
+def union_egonets(r: DataFrame) -> DataFrame:
+    """(review_id, ni, ei) in the union: a neighbour by reviewer and one by business and rating are never joined unless
+    both are both, so the edges of an egonet are those of the two cliques less those they share."""
+    two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    c = union_counts(r).filter("degree > 0")
+    return c.select("review_id", (F.col("degree") + 1).alias("ni"), (two("u_n") + two("s_n") - two("m_n")).cast("bigint").alias("ei"))
+
+
+def union_laplacian(r: DataFrame, h: str) -> DataFrame:
+    """(review_id, lx): x - D^-1/2 (A + I) D^-1/2 x on the union, with degrees that count the loop."""
+    x = both_keys(r.join(union_degrees(r), "review_id").withColumn("d", F.col("degree") + 1).withColumn("v", F.col(h) / F.sqrt("d")))
+    x = cut(x.select("review_id", F.col(h).alias("x"), "d", "v", "k_rur", "k_rsr", "k_m"))
+    y = x
+    for k in ("k_rur", "k_rsr", "k_m"):
+        y = y.join(x.groupBy(k).agg(F.sum("v").alias(f"{k}_v")), k)
+    s = F.col("k_rur_v") + F.col("k_rsr_v") - F.col("k_m_v")  # the loop stands in all three
+    return y.select("review_id", r6(F.col("x") - s / F.sqrt("d")).alias("lx"))
+
+
+def verify_union(r: DataFrame) -> DataFrame:
+    """(n_nodes, n_mismatched, mismatch_share) of the union: reviews whose degree isn't the size of their component less one."""
+    c = cut(union_components(r))
+    j = union_degrees(r).filter("degree > 0").join(beside(c, "component", F.count(F.lit(1)).alias("s")), "review_id")
+    bad = (F.col("degree") != F.col("s") - 1).cast("int")
+    return j.agg(F.count(F.lit(1)).alias("n_nodes"), F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("n_mismatched"), r6(F.avg(bad)).alias("mismatch_share"))
 
 
 def weighted_union(r: DataFrame) -> DataFrame:
     """(src, dst, weight): each relation weighs one over its number of (directed) edges."""
-    r, parts = same_day(r), []
-    for k in ("k_rtr", "k_rud"):
+    parts = None
+    for k in KEYS:
         e = edges(r, k)
-        parts.append(e.crossJoin(F.broadcast(e.agg((1.0 / F.nullif(2 * F.count(F.lit(1)), F.lit(0))).alias("w")))))  # one row
-    return parts[0].unionByName(parts[1]).groupBy("src", "dst").agg(F.round(F.sum("w"), 9).alias("weight"))
+        w = r.groupBy(k).agg(F.count(F.lit(1)).alias("s")).agg((1.0 / F.nullif(F.sum(F.col("s") * (F.col("s") - 1)), F.lit(0))).alias("w"))  # one row
+        e = e.crossJoin(F.broadcast(w))
+        parts = e if parts is None else parts.unionByName(e)
+    return parts.groupBy("src", "dst").agg(F.sum("w").alias("weight"))
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -241,15 +358,29 @@ def projected(r: DataFrame) -> DataFrame:
     return g.groupBy("relation").agg(F.count(F.lit(1)).alias("n_communities"), F.sum("n").alias("n_labelled"))
 
 
-def _lgamma(z: Column) -> Column:
-    """ln Gamma by Stirling's series at z + 8."""
-    x = z + 8
-    s = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return s - F.ln(z * (z + 1) * (z + 2) * (z + 3)) - F.ln((z + 4) * (z + 5) * (z + 6) * (z + 7))
+def _tail(pop: int, pos: int, n: int, hits: int) -> float:
+    """P(X >= hits) of n draws from pop with pos of a kind; sums from the near side of the tail while terms matter."""
+    lo, hi = max(0, n - (pop - pos)), min(n, pos)
+    if hits <= lo:
+        return 1.0
+    if hits > hi:
+        return 0.0
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    up = hits >= n * pos / pop  # above the mean terms fall from `hits` on; below it those of the other side do
+    at, step = (hits, 1) if up else (hits - 1, -1)
+    term = math.exp(choose(pos, at) + choose(pop - pos, n - at) - choose(pop, n))
+    total = 0.0
+    while lo <= at <= hi and term > total * 1e-17:
+        total += term
+        up_by = (pos - at) * (n - at) / ((at + 1) * (pop - pos - n + at + 1)) if step > 0 else at * (pop - pos - n + at) / ((pos - at + 1) * (n - at + 1))
+        term *= up_by
+        at += step
+    return total if up else 1.0 - total
 
 
-def _lchoose(n: Column, k: Column) -> Column:
-    return _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1)
+@F.pandas_udf(T.DoubleType())
+def _tails(pop: pd.Series, pos: pd.Series, n: pd.Series, hits: pd.Series) -> pd.Series:
+    return pd.Series([_tail(*map(int, x)) for x in zip(pop, pos, n, hits)], dtype="float64")
 
 
 def enrichment(r: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -257,12 +388,8 @@ def enrichment(r: DataFrame, alpha: float = 0.01) -> DataFrame:
     more, against alpha over the number of tests. Communities of one size and count share their test."""
     g = long_keys(r, "y").groupBy("relation", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).filter("n > 1")
     g = g.groupBy("relation", "n", "hits").agg(F.count(F.lit(1)).alias("c"))
-    all_ = F.broadcast(r.agg(F.count(F.lit(1)).cast("double").alias("pop"), F.sum("y").cast("double").alias("pos")))
-    g = g.crossJoin(all_)
-    N, K, n = F.col("pop"), F.col("pos"), F.col("n").cast("double")
-    term = lambda j: F.when(n - j <= N - K, F.exp(_lchoose(K, j) + _lchoose(N - K, n - j) - _lchoose(N, n))).otherwise(0.0)
-    tail = F.aggregate(F.sequence(F.col("hits"), F.greatest(F.col("hits"), F.least(F.col("n"), K.cast("bigint")))), F.lit(0.0), lambda a, j: a + term(j.cast("double")))
-    g = g.withColumn("p", F.when(F.col("hits") == 0, 1.0).otherwise(tail))
+    g = g.crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("pop"), F.sum("y").alias("pos"))))  # one row
+    g = g.withColumn("p", _tails("pop", "pos", "n", "hits"))
     tests = F.sum("c").over(Window.partitionBy("relation"))  # a row per size and count
     sig = F.col("p") < alpha / F.col("tests")
     zero = lambda c: F.coalesce(F.sum(F.when(sig, c)), F.lit(0)).cast("bigint")
@@ -272,18 +399,20 @@ def enrichment(r: DataFrame, alpha: float = 0.01) -> DataFrame:
 
 
 _x = lambda r: r.select("review_id", F.col("rating").alias("x"))
+_aged = lambda r: r.withColumn("age", F.datediff("day", F.lit("2019-01-01").cast("date")).cast("double"))
+_six = lambda df: df.select("review_id", *[r6(c).alias(c) for c in df.columns if c != "review_id"])
 _rounded = lambda df: df.select(*[r6(c).alias(c) if c.startswith("loo_") else c for c in df.columns])
 QUERIES = {
-    "g02_relation_keys": Q(lambda r: r.select("review_id", *KEYS)), "g03_communities": Q(communities), "a16_group_sizes": Q(group_sizes), "a16_degree": Q(degree),
+    "g02_relation_keys": Q1(lambda r: r.select("review_id", *KEYS)), "g03_communities": Q(communities), "a16_group_sizes": Q1(group_sizes), "a16_degree": Q(degree),
     "w08_loo_scores": Q(lambda r: _rounded(loo(r))), "w10_loo_train_only": Q(lambda r: _rounded(loo_train(r))),
-    "w11_neighbors_business_rating": Q(lambda r: neighbors(r.withColumn("age", F.datediff("day", F.lit("2019-01-01").cast("date")).cast("double")), "k_rsr", ("rating", "age"))),
-    "w11_neighbors_reviewer": Q(lambda r: neighbors(r.withColumn("age", F.datediff("day", F.lit("2019-01-01").cast("date")).cast("double")), "k_rur", ("rating", "age"))),
-    "w12_group_laplacian": Q(lambda r: laplacian(r, "k_rur", "rating")), "g22_beta_wavelets": Q(lambda r: wavelets(r, "k_rur", "rating")),
-    "g12_oddball": Q(oddball), "g15_fraudar_cliques": Q(fraudar), "t02_survival_order": Q(survival), "j12_edges_week": Q(lambda r: edges(r, "k_rtr")), "u06_union_edges": Q(union_edges),
-    "u07_weighted_union": Q(weighted_union), "g10_neighbors_on_edges": Q(lambda r: neighbors_on_edges(union_edges(r), _x(r))), "g11_egonets": Q(lambda r: egonets(union_edges(r))),
-    "g21_normal_laplacian": Q(lambda r: normal_laplacian(union_edges(r), _x(r))), "g09_verify_cliques": Q(lambda r: verify_cliques(edges(r, "k_rtr"))),
-    "g09_verify_union": Q(lambda r: verify_cliques(union_edges(r))), "g08_union_components": Q(union_components), "w15_codes": Q(codes),
-    "g07_projected_communities": Q(projected, labelled=False), "a17_enrichment": Q(enrichment),
+    "w11_neighbors_business_rating": Q(lambda r: neighbors(_aged(r), "k_rsr", ("rating", "age"))), "w11_neighbors_reviewer": Q(lambda r: neighbors(_aged(r), "k_rur", ("rating", "age"))),
+    "w12_group_laplacian": Q(lambda r: _six(laplacian(_aged(r), KEYS, ["rating", "age"]))), "g22_beta_wavelets": Q(lambda r: _six(wavelets(_aged(r), KEYS, ["rating", "age"]))),
+    "g06_labels": Q(labels),
+    "g12_oddball": Q(oddball), "g15_fraudar_cliques": Q1(fraudar), "t02_survival_order": Q(survival), "j12_edges_week": Q(lambda r: edges(r, "k_rtr")), "u06_union_degrees": Q(union_degrees),
+    "u07_weighted_union": Q(weighted_degrees), "g10_union_neighbors": Q(lambda r: union_neighbors(r, "rating")), "g11_union_egonets": Q(union_egonets), "g21_normal_laplacian": Q(lambda r: union_laplacian(r, "rating")),
+    "g10_neighbors_on_edges": Q(lambda r: neighbors_on_edges(edges(r, "k_rtr"), _x(r))), "g11_egonets": Q(lambda r: egonets(edges(r, "k_rtr"))), "g21_laplacian_on_edges": Q(lambda r: normal_laplacian(edges(r, "k_rtr"), _x(r))), "g09_verify_cliques": Q(lambda r: verify_cliques(edges(r, "k_rtr"))),
+    "g09_verify_union": Q(verify_union), "g08_union_components": Q(union_components), "w15_codes": Q(codes),
+    "g07_projected_communities": Q1(projected, labelled=False), "a17_enrichment": Q(enrichment),
 }
 LONG = "lk as (unpivot (select review_id, y, k_rur rur, k_rsr rsr, k_rtr rtr from r) on rur, rsr, rtr into name relation value k)"
 _G = "gs as (select relation, k, count(*) s, sum(y) hits from lk group by 1, 2)"
@@ -297,13 +426,39 @@ LOOT = f"lt as (select review_id, y, train, " + ", ".join(
 
 def _nb(k: str) -> str:
     one = lambda c: f"""round(avg(o.{c}), 6) {c}_mean_loo, round(stddev_pop(o.{c}), 5) {c}_std_loo, round(max(o.{c}), 6) {c}_max_loo, round(any_value(a.{c}) - avg(o.{c}), 6) {c}_deviation"""
-    return sql(f"select a.review_id, count(o.review_id) + 1 group_size, {one('rating')}, {one('age')} from g a left join g o on o.{k} = a.{k} and o.review_id <> a.review_id group by a.review_id", "g as (select *, date_diff('day', date '2019-01-01', day)::double age from r)")
+    return sql(f"select a.review_id, count(o.review_id) + 1 group_size, {one('rating')}, {one('age')} from g a left join g o on o.{k} = a.{k} and o.review_id <> a.review_id group by a.review_id", _AGE)
 
 
 _E1 = "e1 as (select a.review_id src, b.review_id dst from r a join r b on a.k_rtr = b.k_rtr and a.review_id < b.review_id)"
-_E2 = "e2 as (select a.review_id src, b.review_id dst from r a join r b on a.u = b.u and a.day = b.day and a.review_id < b.review_id)"
-_EU = "e as (select * from e1 union select * from e2)"
+_E2 = "e2 as (select a.review_id src, b.review_id dst from r a join r b on a.u = b.u and a.review_id < b.review_id)"
+_E3 = "e3 as (select a.review_id src, b.review_id dst from r a join r b on a.k_rsr = b.k_rsr and a.review_id < b.review_id)"
+_EU = "e as (select * from e1 union select * from e2 union select * from e3)"
+_EW = "e as (select * from e1)"
+_UNION = (_E1, _E2, _E3, _EU)
 _BW = "w as (select src, dst from e union all select dst, src from e)"
+_AGE = "g as (select *, date_diff('day', date '2019-01-01', day)::double age from r)"
+#: Least review of the component by passing on the least number, as often as no longest shortest path is longer.
+COMPONENTS = ("cc0 as (select review_id, u, k_rsr, review_id c from r)", *[f"cc{i + 1} as materialized (select review_id, u, k_rsr, least(min(c) over (partition by u), min(c) over (partition by k_rsr)) c from cc{i})" for i in range(24)], "cc as (select * from cc24)")
+
+
+def _bank(k: str, h: str) -> str:
+    l = f"({h} - avg({h}) over (partition by {k}))"  # noqa: E741
+    n = f"{k[2:]}_{h}"
+    return f"round(3 * {h} - 2.25 * {l}, 6) {n}_w0, round(1.5 * {l}, 6) {n}_w1, round(0.75 * {l}, 6) {n}_w2, round({h} - 0.75 * {l}, 6) {n}_low"
+
+
+def _on_edges(*e: str) -> str:
+    return sql("select r.review_id, count(o.review_id) + 1 group_size, round(avg(o.rating), 6) mean_loo, round(stddev_pop(o.rating), 5) std_loo, round(max(o.rating), 6) max_loo, round(any_value(r.rating) - avg(o.rating), 6) deviation from r left join w on w.src = r.review_id left join r o on o.review_id = w.dst group by 1", *e, _BW)
+
+
+def _ego(*e: str) -> str:
+    return sql("select review_id, ni, ni - 1 + count(e.src) ei from (select src review_id, count(*) + 1 ni from w group by 1) n left join w p on p.src = review_id left join w q on q.src = review_id and q.dst > p.dst left join e on e.src = p.dst and e.dst = q.dst group by 1, 2", *e, _BW)
+
+
+def _lap(*e: str) -> str:
+    return sql("select r.review_id, round(any_value(rating) - any_value(rating / d.d) - coalesce(sum(v.x / sqrt(v.d)), 0) / sqrt(any_value(d.d)), 6) lx from r join dg d on d.review_id = r.review_id left join w on w.src = r.review_id left join dg v on v.review_id = w.dst group by 1", *e, _BW, "dg as (select r.review_id, any_value(rating) x, count(w.src) + 1 d from r left join w on w.src = r.review_id group by 1)")
+
+
 _rl = ", ".join(f"round(loo_{k}, 6) loo_{k}" for k in RELATIONS)
 _ODD = "od as (select *, exp(c + t * ln(s)) f from (select gs.*, s * (s - 1) / 2 ei from gs) join (select relation, regr_slope(ln(s * (s - 1) / 2), ln(s)) t, regr_intercept(ln(s * (s - 1) / 2), ln(s)) c from lk join gs using (relation, k) where s > 1 group by relation) using (relation))"
 SQL = {
@@ -313,16 +468,19 @@ SQL = {
     "a16_degree": sql("select review_id, " + ", ".join(f"count(*) over (partition by {k}) - 1 d_{k[2:]}" for k in KEYS) + " from r"),
     "w08_loo_scores": sql(f"select review_id, y, {_rl} from lo", LOO), "w10_loo_train_only": sql(f"select review_id, train, {_rl} from lt", LOOT),
     "w11_neighbors_business_rating": _nb("k_rsr"), "w11_neighbors_reviewer": _nb("k_rur"),
-    "w12_group_laplacian": sql("select review_id, round(rating - avg(rating) over (partition by u), 6) lh from r"),
-    "g22_beta_wavelets": sql("select review_id, round(3 * rating - 2.25 * l, 6) w0, round(1.5 * l, 6) w1, round(0.75 * l, 6) w2 from (select review_id, rating, rating - avg(rating) over (partition by u) l from r)"),
+    "w12_group_laplacian": sql("select review_id, round(rating, 6) rating, round(age, 6) age, " + ", ".join(f"round({h} - avg({h}) over (partition by {k}), 6) {k[2:]}_{h}_l" for k in KEYS for h in ("rating", "age")) + " from g", _AGE),
+    "g22_beta_wavelets": sql("select review_id, " + ", ".join(_bank(k, h) for k in KEYS for h in ("rating", "age")) + " from g", _AGE),
+    "g06_labels": sql("select review_id, dense_rank() over (order by c) - 1 as label from (select review_id, min(review_id) over (partition by k_rtr) c from r)"),
     "g12_oddball": sql("select relation, review_id, s ni, ei::bigint ei, round(case when s > 1 then (greatest(ei, f) + 1e-6) / (least(ei, f) + 1e-6) * ln(abs(ei - f) + 1) else 0 end, 5) score from lk join od using (relation, k)", LONG, _G, _ODD),
     "g15_fraudar_cliques": sql("select relation, max((top - 1) / 2) max_density, sum(case when s = top then s end)::bigint detected, round(sum(s * (s - 1) / 2) / sum(s), 6) full_density from (select *, max(s) over (partition by relation) top from gs) group by relation", LONG, _G),
     "t02_survival_order": sql("select review_id, row_number() over (order by s, review_id) place from (select review_id, count(*) over (partition by k_rtr) s from r)"),
-    "j12_edges_week": sql("select * from e1", _E1), "u06_union_edges": sql("select * from e", _E1, _E2, _EU),
-    "u07_weighted_union": sql("select src, dst, round(sum(w), 9) weight from (select *, 1.0::double / (2 * (select count(*) from e1)) w from e1 union all select *, 1.0::double / (2 * (select count(*) from e2)) from e2) group by 1, 2", _E1, _E2),
-    "g10_neighbors_on_edges": sql("select r.review_id, count(o.review_id) + 1 group_size, round(avg(o.rating), 6) mean_loo, round(stddev_pop(o.rating), 5) std_loo, round(max(o.rating), 6) max_loo, round(any_value(r.rating) - avg(o.rating), 6) deviation from r left join w on w.src = r.review_id left join r o on o.review_id = w.dst group by 1", _E1, _E2, _EU, _BW),
-    "g11_egonets": sql("select review_id, ni, ni - 1 + count(e.src) ei from (select src review_id, count(*) + 1 ni from w group by 1) n left join w p on p.src = review_id left join w q on q.src = review_id and q.dst > p.dst left join e on e.src = p.dst and e.dst = q.dst group by 1, 2", _E1, _E2, _EU, _BW),
-    "g21_normal_laplacian": sql("select r.review_id, round(any_value(rating) - any_value(rating / d.d) - coalesce(sum(v.x / sqrt(v.d)), 0) / sqrt(any_value(d.d)), 6) lx from r join dg d on d.review_id = r.review_id left join w on w.src = r.review_id left join dg v on v.review_id = w.dst group by 1", _E1, _E2, _EU, _BW, "dg as (select r.review_id, any_value(rating) x, count(w.src) + 1 d from r left join w on w.src = r.review_id group by 1)"),
+    "j12_edges_week": sql("select * from e1", _E1),
+    "u06_union_degrees": sql("select r.review_id, count(w.src) degree from r left join w on w.src = r.review_id group by 1", *_UNION, _BW),
+    "u07_weighted_union": sql("select r.review_id, round(coalesce(sum(w), 0), 9) strength from r left join (select src, w from x union all select dst, w from x) q on q.src = r.review_id group by 1", _E1, _E2, _E3, "x as (" + " union all ".join(f"select src, dst, 1.0::double / (2 * (select count(*) from {e})) w from {e}" for e in ("e1", "e2", "e3")) + ")"),
+    "g10_union_neighbors": _on_edges(*_UNION), "g10_neighbors_on_edges": _on_edges(_E1, _EW), "g11_union_egonets": _ego(*_UNION), "g11_egonets": _ego(_E1, _EW),
+    "g21_normal_laplacian": _lap(*_UNION), "g21_laplacian_on_edges": _lap(_E1, _EW),
+    "g08_union_components": sql("select review_id, c component from cc", *COMPONENTS),
+    "g09_verify_union": sql("select count(*) n_nodes, count(*) filter (d <> s - 1) n_mismatched, round(avg((d <> s - 1)::int), 6) mismatch_share from (select review_id, count(*) over (partition by c) s from cc) join (select src, count(*) d from w group by 1) on src = review_id", *_UNION, _BW, *COMPONENTS),
     "w15_codes": sql("select b, dense_rank() over (order by b) - 1 code, dense_rank() over (order by f) - 1 first_code from (select b, min(review_id) f from r group by b)"),
     "g07_projected_communities": sql("select relation, count(*) n_communities, sum(n)::bigint n_labelled from (select relation, k, count(y) n from (unpivot (select review_id, y, k_rur rur, k_rsr rsr, k_rtr rtr from ra) on rur, rsr, rtr into name relation value k) group by 1, 2) where n > 0 group by 1"),
     "a17_enrichment": sql("""select relation, count(*) testable, count(*) filter (sig) significant, coalesce(sum(hits) filter (sig), 0)::bigint fraud_captured, coalesce(sum(s) filter (sig), 0)::bigint nodes_covered from
