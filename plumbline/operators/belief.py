@@ -1,19 +1,20 @@
 """Belief propagation between users, reviews and products, without labels, in log-odds.
 
-A message is one number, the log-odds of fraud. Each round is two sums over windows (user, product) and expressions on
-the row; the frame is written to the shared folder every few rounds, so the plan stays short.
+A message is one number, the log-odds of fraud. Each round is two sums (per user, per product) joined back and expressions
+on the row; the frame is written to the shared folder each round, so the plan stays short.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from plumbline.operators.behavior import Q, r6
-from plumbline.operators.bursts import RZ, SPINE, ZS, review_burst
-from plumbline.operators.evaluate import percentile_prior
-from plumbline.operators.facts import sql
-from plumbline.scratch import cut
+from plumbline.operators.bursts import RZ, SPINE, ZS, burst_z
+from plumbline.operators.evaluate import DIGITS, _metrics_sql, metrics, percentile_priors
+from plumbline.operators.facts import beside, sql
+from plumbline.operators.relations import TRAIN, in_train
+from plumbline.scratch import cut, forget
 
-EPS, DAMPING, TOLERANCE, MAX_ROUNDS, CUT_EVERY = 0.15, 0.5, 1e-4, 150, 5
+EPS, DAMPING, TOLERANCE, MAX_ROUNDS = 0.15, 0.5, 1e-4, 150
 CLIP = 1e-6
 
 
@@ -21,18 +22,32 @@ def priors(r: DataFrame) -> DataFrame:
     """(review_id, u, b, prior_r, prior_u, prior_b): means of percentiles of reviews, of users and of products.
 
     Reviews: distance from the business's mean, burst z. Users: share of extreme ratings, most reviews a day.
-    Products: greatest burst z. Users and products are ranked among their kind, not among reviews.
+    Products: greatest burst z. Users and products are ranked among their kind, not among reviews. A distance is that of
+    a business and rating, a burst that of a business and week, so these are counted and ranked, not reviews.
     """
-    x = review_burst(r).withColumn("dev", F.round(F.abs(F.col("rating") - F.avg("rating").over(Window.partitionBy("b"))), 9)).withColumn("z", F.round("z", 9))
-    x = cut(x.select("review_id", "u", "b", "day", "rating", "dev", "z"))
-    per_day = x.groupBy("u", "day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").isin(1.0, 5.0).cast("int")).alias("e"))
-    user = per_day.groupBy("u").agg(F.max("n").alias("m"), F.round(F.sum("e") / F.sum("n"), 9).alias("x"))
-    product = x.groupBy("b").agg(F.max("z").alias("peak"))
-    p = lambda df, c: percentile_prior(df, c).withColumnRenamed("prior", f"p_{c}")
-    user = user.join(p(user, "m"), "m").join(p(user, "x"), "x").select("u", ((F.col("p_m") + F.col("p_x")) / 2).alias("prior_u"))
-    product = product.join(p(product, "peak"), "peak").select("b", F.col("p_peak").alias("prior_b"))
-    x = x.join(p(x, "dev"), "dev").join(p(x, "z"), "z").select("review_id", "u", "b", ((F.col("p_dev") + F.col("p_z")) / 2).alias("prior_r"))
-    return x.join(user, "u").join(product, "b").select("review_id", "u", "b", "prior_r", "prior_u", "prior_b")
+    z = cut(burst_z(r).select("b", "week", F.round("z", 9).alias("z"), "n"))
+    stars = cut(with_distance(r.groupBy("b", "rating").agg(F.count(F.lit(1)).alias("n"))))
+    per_day = r.groupBy("u", "day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").isin(1.0, 5.0).cast("int")).alias("e"))
+    user = cut(per_day.groupBy("u").agg(F.max("n").cast("double").alias("m"), F.round(F.sum("e") / F.sum("n"), 9).alias("x")))
+    product = z.groupBy("b").agg(F.max("z").alias("peak"))
+    of = lambda df, c, n: df.select(F.lit(c).alias("kind"), F.col(c).alias("value"), n.alias("c"))
+    values = of(stars, "dev", F.col("n")).unionByName(of(z, "z", F.col("n")))
+    for df, c in ((user, "m"), (user, "x"), (product, "peak")):
+        values = values.unionByName(of(df, c, F.lit(1).cast("bigint")))
+    p = cut(percentile_priors(values))
+    take = lambda c: p.filter(F.col("kind") == c).select(F.col("value").alias(c), F.col("prior").alias(f"p_{c}"))
+    user = user.join(take("m"), "m").join(take("x"), "x").select("u", ((F.col("p_m") + F.col("p_x")) / 2).alias("prior_u"))
+    product = product.join(take("peak"), "peak").select("b", F.col("p_peak").alias("prior_b"))
+    dev = stars.join(take("dev"), "dev").join(product, "b").select("b", "rating", "p_dev", "prior_b")
+    week = z.join(take("z"), "z").select("b", "week", "p_z")
+    x = r.select("review_id", "u", "b", "rating", "week").join(dev, ["b", "rating"]).join(week, ["b", "week"]).join(user, "u")
+    return x.select("review_id", "u", "b", ((F.col("p_dev") + F.col("p_z")) / 2).alias("prior_r"), "prior_u", "prior_b")
+
+
+def with_distance(s: DataFrame) -> DataFrame:
+    """(b, rating, n) with dev, the distance of the rating from the mean of the business."""
+    mean = s.groupBy("b").agg((F.sum(F.col("rating") * F.col("n")) / F.sum("n")).alias("mean"))
+    return s.join(mean, "b").select("b", "rating", "n", F.round(F.abs(F.col("rating") - F.col("mean")), 9).alias("dev"))
 
 
 def _logit(p: Column) -> Column:
@@ -56,26 +71,47 @@ def _damped(old: Column, new: Column) -> Column:
 
 
 def propagated(p: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(review_id, belief) after `rounds` Jacobi rounds, or until no belief moves by TOLERANCE."""
+    """(review_id, belief) after `rounds` Jacobi rounds, or until no belief moves by TOLERANCE, looked at every round.
+
+    What a user or product hears is summed per task and per key and joined back; a round is written once, and the greatest
+    move is taken down while it is written. The round before is removed.
+    """
     m = p.select("review_id", "u", "b", _logit(F.col("prior_r")).alias("lr"), _logit(F.col("prior_u")).alias("lu"), _logit(F.col("prior_b")).alias("lb"), *[F.lit(0.0).alias(c) for c in ("ur", "ru", "br", "rb")])
     m = cut(m.withColumn("belief", _sigmoid(F.col("lr"))))
-    for i in range(1, (rounds or MAX_ROUNDS) + 1):
-        su, sb = F.sum("ru").over(Window.partitionBy("u")), F.sum("rb").over(Window.partitionBy("b"))
-        m = m.select(
+    for _ in range(rounds or MAX_ROUNDS):
+        x = m.join(m.groupBy("u").agg(F.sum("ru").alias("su")), "u").join(m.groupBy("b").agg(F.sum("rb").alias("sb")), "b").select(
             "review_id", "u", "b", "lr", "lu", "lb", F.col("belief").alias("was"),
-            _damped(F.col("ur"), _passed(F.col("lu") + su - F.col("ru"))).alias("ur"), _damped(F.col("br"), _passed(F.col("lb") + sb - F.col("rb"))).alias("br"),
+            _damped(F.col("ur"), _passed(F.col("lu") + F.col("su") - F.col("ru"))).alias("ur"), _damped(F.col("br"), _passed(F.col("lb") + F.col("sb") - F.col("rb"))).alias("br"),
             _damped(F.col("ru"), _passed(F.col("lr") + F.col("br"))).alias("ru"), _damped(F.col("rb"), _passed(F.col("lr") + F.col("ur"))).alias("rb"),
         ).withColumn("belief", _sigmoid(F.col("lr") + F.col("ur") + F.col("br")))
-        if i % CUT_EVERY == 0:
-            m = cut(m)
-            if rounds is None and (m.agg(F.max(F.abs(F.col("belief") - F.col("was")))).first()[0] or 0.0) < TOLERANCE:
-                break
+        moved = Observation()
+        x = cut(x.observe(moved, F.max(F.abs(F.col("belief") - F.col("was"))).alias("most")).drop("was"))
+        forget(m)
+        m = x
+        if rounds is None and (moved.get["most"] or 0.0) < TOLERANCE:
+            break
     return m.select("review_id", "belief")
 
 
+def evaluated(r: DataFrame, b: DataFrame) -> DataFrame:
+    """(variant, n, n_pos, auc, ap, recall...) of beliefs: all labelled reviews, held-out ones, and those of reviewers with
+    a single review; priors beside them as the base they start from."""
+    x = r.select("review_id", "y", "u", in_train(r).alias("train")).join(b, "review_id")
+    x = beside(x, "u", F.count(F.lit(1)).alias("un"))
+    names = F.filter(F.array(F.lit("all"), F.when(~F.col("train"), "held_out"), F.when(F.col("un") == 1, "cold_start")), lambda v: v.isNotNull())
+    x = x.select("y", F.explode(names).alias("part"), F.explode(F.array(*[F.struct(F.lit(c).alias("score_of"), F.round(F.col(c), DIGITS).alias("score")) for c in b.columns if c != "review_id"])).alias("s")).select("y", "part", "s.*")
+    return metrics(x, ["score_of", "part"])
+
+
+def evaluated_rounds(r: DataFrame, rounds: int | None = None) -> DataFrame:
+    p = cut(priors(r))
+    return evaluated(r, propagated(p, rounds).join(p.select("review_id", F.col("prior_r").alias("prior")), "review_id"))
+
+
 QUERIES = {
     "g19_priors": Q(lambda r: priors(r).select("review_id", *[r6(f"prior_{x}").alias(f"prior_{x}") for x in "rub"])),
     "g20_belief_3_rounds": Q(lambda r: propagated(priors(r), 3).select("review_id", r6("belief").alias("belief"))),
+    "g20_belief_evaluation_3_rounds": Q(lambda r: evaluated_rounds(r, 3)), "g20_belief_evaluation": Q(evaluated_rounds),
     "g20_belief_converged": Q(lambda r: propagated(priors(r)).select("review_id", r6("belief").alias("belief"))),
 }
 _P = lambda v: f"0.05::double + (rank() over (order by {v}) + (count(*) over (partition by {v}) - 1) / 2 - 1) / greatest(count(*) over () - 1, 1) * 0.9"
@@ -96,11 +132,14 @@ def _round(prev: str) -> str:
  from (select *, sum(ru) over (partition by u) su, sum(rb) over (partition by b) sb from {prev}))"""
 
 
+_M3 = (
+    *_PRIORS, f"m0 as (select review_id, u, b, {_LG('prior_r')} lr, {_LG('prior_u')} lu, {_LG('prior_b')} lb, 0::double ur, 0::double br, 0::double ru, 0::double rb from pp)",
+    f"m1 as ({_round('m0')})", f"m2 as ({_round('m1')})", f"m3 as ({_round('m2')})",
+)
+_EV = f"""ev as (select y, score_of, round(s, 9) score, unnest(list_filter(['all', case when not train then 'held_out' end, case when un = 1 then 'cold_start' end], lambda v: v is not null)) part from
+ (select y, {_SG('lr + ur + br')} belief, prior_r prior, {TRAIN} = 1 train, count(*) over (partition by r.u) un from r join m3 using (review_id) join pp using (review_id)) unpivot (s for score_of in (belief, prior)))"""
 SQL = {
     "g19_priors": sql("select review_id, round(prior_r, 6) prior_r, round(prior_u, 6) prior_u, round(prior_b, 6) prior_b from pp", *_PRIORS),
-    "g20_belief_3_rounds": sql(
-        f"select review_id, round({_SG('lr + ur + br')}, 6) belief from m3", *_PRIORS,
-        f"m0 as (select review_id, u, b, {_LG('prior_r')} lr, {_LG('prior_u')} lu, {_LG('prior_b')} lb, 0::double ur, 0::double br, 0::double ru, 0::double rb from pp)",
-        f"m1 as ({_round('m0')})", f"m2 as ({_round('m1')})", f"m3 as ({_round('m2')})",
-    ),
+    "g20_belief_3_rounds": sql(f"select review_id, round({_SG('lr + ur + br')}, 6) belief from m3", *_M3),
+    "g20_belief_evaluation_3_rounds": sql(_metrics_sql("ev", "score_of, part"), *_M3, _EV),
 }

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.scratch import cut
+from plumbline.scratch import counted, cut, forget
 
 MAX_ROUNDS = 60
+SMALL = 500_000  # rows of two numbers that may be broadcast
 
 
 def _prio(c: Column, r: int) -> Column:
@@ -25,27 +26,31 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).filter("src is not null and dst is not null")
     e = cut(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    # Labels of the original nodes; starts as the identity.
-    label = None
+    steps: list[DataFrame] = []  # (v, t): where the nodes that were left in a round went; ever fewer
     for r in range(MAX_ROUNDS):
         ends = e.select(F.col("src").alias("v"), _prio(F.col("dst"), r).alias("p")).unionByName(e.select(F.col("dst").alias("v"), _prio(F.col("src"), r).alias("p")))
-        if r == 0:
-            # Loops only name their node.
-            target = ends.groupBy("v").agg(F.least(F.min("p"), F.first(_prio(F.col("v"), r))).alias("p"))
-        else:
-            target = ends.groupBy("v").agg(F.min("p").alias("p")).withColumn("p", F.least("p", _prio(F.col("v"), r)))
-        target = cut(target.select("v", F.col("p.v").alias("t")))
-        if label is None:
-            label = target.select(F.col("v").alias("node"), F.col("t").alias("label"))
-        else:
-            label = cut(label.join(target, label["label"] == target["v"], "left").select("node", F.coalesce("t", "label").alias("label")))
-        e = (
-            e.join(target.select(F.col("v").alias("src"), F.col("t").alias("s")), "src")
-            .join(target.select(F.col("v").alias("dst"), F.col("t").alias("d")), "dst")
+        # In the first round loops name their node; later there are none.
+        target = ends.groupBy("v").agg(F.min("p").alias("p")).withColumn("p", F.least("p", _prio(F.col("v"), r)))
+        target, n = counted(target.select("v", F.col("p.v").alias("t")))
+        steps.append(target)
+        side = F.broadcast(target) if n <= SMALL else target
+        left, n = counted(
+            e.join(side.select(F.col("v").alias("src"), F.col("t").alias("s")), "src")
+            .join(side.select(F.col("v").alias("dst"), F.col("t").alias("d")), "dst")
             .filter("s <> d").select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).distinct()
         )
-        e = cut(e)
-        if e.isEmpty():
-            least = label.groupBy("label").agg(F.min("node").alias("component"))
-            return label.join(least, "label").select("node", "component")
-    raise RuntimeError(f"components did not end within {MAX_ROUNDS} rounds")
+        forget(e)
+        e = left
+        if not n:
+            break
+    else:
+        raise RuntimeError(f"components did not end within {MAX_ROUNDS} rounds")
+    # From the last step back: a step's targets either went on in the next one or stayed.
+    label = steps.pop()
+    while steps:
+        up, step = label.select(F.col("v").alias("t"), F.col("t").alias("end")), steps.pop()
+        nxt = cut(step.join(up, "t", "left").select("v", F.coalesce("end", "t").alias("t")))
+        forget(label, step)
+        label = nxt
+    least = label.groupBy("t").agg(F.min("v").alias("component"))
+    return label.join(least, "t").select(F.col("v").alias("node"), "component")

@@ -4,13 +4,15 @@ Curves come from running sums over distinct scores (`prefix.cumulative`), so tha
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.operators.behavior import Q, r6
+from plumbline.operators.behavior import SQL as BEHAVIOR, Q, Q1, TEXT, block1, r6, text_features, yelp_texts
 from plumbline.operators.bursts import RZ, SPINE, ZS, review_burst
-from plumbline.operators.facts import RELATIONS, sql
-from plumbline.operators.prefix import cumulative
+from plumbline.operators.facts import RELATIONS, beside, facts, sql
+from plumbline.operators.prefix import cumulative, quantiles
 from plumbline.operators.relations import LOO, LOOT, in_train, loo, loo_train
+from plumbline.scratch import bounded, cut
+from plumbline.sources.tables import table
 
 FPRS = (0.01, 0.05, 0.1)
 FRACTIONS = (0.05, 0.1, 0.2)
@@ -32,7 +34,7 @@ def signals(r: DataFrame) -> DataFrame:
 
 def curve(df: DataFrame, group: list[str]) -> DataFrame:
     """(group, score, p, q, tp, fp, P, N) from the highest score down; rows without label or score are left out."""
-    a = df.filter("y is not null and score is not null").groupBy(*group, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    a = cut(df.filter("y is not null and score is not null").groupBy(*group, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")))
     c = cumulative(a, group, [F.desc("score")], {"tp": "p", "fp": "q"})
     return c.join(a.groupBy(*group).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg")), group)
 
@@ -68,31 +70,31 @@ def topk(df: DataFrame, group: list[str], fractions: tuple[float, ...] = FRACTIO
 
 def sliced(r: DataFrame) -> DataFrame:
     """(review_id, slice): the diagnostic slices a review is in; low_business: under the row-weighted median size."""
-    un, bn = F.count(F.lit(1)).over(Window.partitionBy("u")), F.count(F.lit(1)).over(Window.partitionBy("b"))
-    w = r.select("review_id", "rating", un.alias("un"), bn.alias("bn"))
-    mid = F.broadcast(w.agg(F.percentile("bn", F.lit(0.5)).alias("mid")))  # one row
+    w = beside(beside(r.select("review_id", "rating", "u", "b"), "u", F.count(F.lit(1)).alias("un")), "b", F.count(F.lit(1)).alias("bn"))
+    mid = F.broadcast(quantiles(w.withColumn("all", F.lit(0)), ["all"], "bn", [0.5]).select(F.col("v").alias("mid")))  # one row
     tests = [("global", F.lit(True)), ("cold_start", F.col("un") == 1), ("reviewer_2_5", F.col("un").between(2, 5)), ("reviewer_6_up", F.col("un") >= 6), ("low_business", F.col("bn") < F.col("mid")), ("extreme_rating", F.col("rating").isin(1.0, 5.0))]
     names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests]), lambda x: x.isNotNull())
     return w.crossJoin(mid).select("review_id", F.explode(names).alias("slice"))
 
 
 def by_slice(r: DataFrame) -> DataFrame:
-    s = signals(r).filter("signal = 'loo_rsr'").join(sliced(r), "review_id")
-    return metrics(s, ["slice"]).filter(F.col("n") >= MIN_ROWS)
+    """Metrics of each signal within each slice of MIN_ROWS or more."""
+    return metrics(signals(r).join(sliced(r), "review_id"), ["signal", "slice"]).filter(F.col("n") >= MIN_ROWS)
 
 
 def thresholds(s: DataFrame) -> DataFrame:
-    return s.groupBy("signal").agg(r6(F.percentile("score", F.lit(0.1))).alias("low"), r6(F.percentile("score", F.lit(0.9))).alias("high"))
+    """(signal, low, high): the scores between which a signal abstains, its quantiles 0.1 and 0.9."""
+    q = quantiles(s, ["signal"], "score", [0.1, 0.9])  # two rows a signal
+    return q.groupBy("signal").agg(F.max(F.when(F.col("q") < 0.5, F.col("v"))).alias("low"), F.max(F.when(F.col("q") > 0.5, F.col("v"))).alias("high"))
 
 
 def banded(s: DataFrame) -> DataFrame:
     """`s` with its band: suspicious from `high` up (also where low = high), genuine up to `low`, else uncertain."""
-    t = s.groupBy("signal").agg(F.percentile("score", F.lit(0.1)).alias("low"), F.percentile("score", F.lit(0.9)).alias("high"))
-    return s.join(F.broadcast(t), "signal").withColumn("band", F.when(F.round("score", 6) >= F.round("high", 6), "suspicious").when(F.round("score", 6) <= F.round("low", 6), "genuine").otherwise("uncertain"))
+    return s.join(F.broadcast(thresholds(s)), "signal").withColumn("band", F.when(F.round("score", 6) >= F.round("high", 6), "suspicious").when(F.round("score", 6) <= F.round("low", 6), "genuine").otherwise("uncertain"))
 
 
 def band_summary(r: DataFrame) -> DataFrame:
-    b = banded(signals(r)).groupBy("signal", "band").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("y")).alias("fraud_rate"))
+    b = banded(cut(signals(r))).groupBy("signal", "band").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("y")).alias("fraud_rate"))
     return b.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("signal"))))
 
 
@@ -141,9 +143,8 @@ def standardised(r: DataFrame) -> DataFrame:
 
 def macro_f1(r: DataFrame) -> DataFrame:
     """(signal, threshold, macro_f1): of the 99 percentiles of each score the best threshold, the lowest of equals."""
-    s = signals(r)
-    q = s.groupBy("signal").agg(F.percentile("score", F.array(*[F.lit(i / 100) for i in range(1, 100)])).alias("t"))
-    t = q.select("signal", F.explode("t").alias("t")).select("signal", F.round("t", 6).alias("t")).distinct()
+    s = cut(signals(r))
+    t = quantiles(s, ["signal"], "score", [i / 100 for i in range(1, 100)]).select("signal", F.round("v", 6).alias("t")).distinct()
     # Counts per score and label first, then 99 thresholds against distinct scores.
     c = s.groupBy("signal", F.round("score", 6).alias("score")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).join(F.broadcast(t), "signal")
     up = F.col("score") >= F.col("t")
@@ -155,7 +156,7 @@ def macro_f1(r: DataFrame) -> DataFrame:
 
 def fused(r: DataFrame) -> DataFrame:
     """(review_id, fused): equal-weight sum of the signals after min-max scaling; a constant signal gives 0."""
-    s = signals(r)
+    s = cut(signals(r))
     e = F.broadcast(s.groupBy("signal").agg(F.min("score").alias("lo"), F.max("score").alias("hi")))
     x = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return s.join(e, "signal").groupBy("review_id").agg(r6(F.sum(x) / 4).alias("fused"))
@@ -167,39 +168,53 @@ def average_ranks(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     return cumulative(d, group, [F.col(value)], {"upto": "c"}).select(*group, value, "c", (F.col("upto") - F.col("c") / 2 + 0.5).alias("r"))
 
 
-def percentile_prior(df: DataFrame, value: str, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """(value, prior): average-rank percentile of each distinct value, mapped to lo..hi; one value alone gives lo."""
-    n = F.broadcast(df.agg(F.count(value).alias("_total")))
-    r = average_ranks(df.filter(F.col(value).isNotNull()).withColumn("_g", F.lit(0)), value, ["_g"])
-    return r.crossJoin(n).select(value, (lo + (F.col("r") - 1) / F.greatest(F.col("_total") - 1, F.lit(1)) * (hi - lo)).alias("prior"))
+def percentile_priors(values: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+    """(kind, value, prior) of (kind, value, c): average-rank percentile of each distinct value among its kind, mapped to
+    lo..hi; one value alone gives lo. All kinds are ranked in one pass over distinct values."""
+    d = values.filter("value is not null").groupBy("kind", "value").agg(F.sum("c").alias("c"))
+    r = cumulative(d, ["kind"], [F.col("value")], {"upto": "c"})
+    n = r.groupBy("kind").agg(F.max("upto").alias("total"))  # one row a kind
+    rank = F.col("upto") - F.col("c") / 2 + 0.5
+    return r.join(F.broadcast(n), "kind").select("kind", "value", (lo + (rank - 1) / F.greatest(F.col("total") - 1, F.lit(1)) * (hi - lo)).alias("prior"))
 
 
-def correlations(r: DataFrame) -> DataFrame:
-    """(a, b, pearson, spearman) of rating, age and label; null where a column is constant."""
-    r = r.withColumn("age", F.datediff("day", F.lit("2019-01-01").cast("date")).cast("double")).select("review_id", "rating", "age", F.col("y").cast("double").alias("y"))
-    cols = ("rating", "age", "y")
+def correlations(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(a, b, pearson, spearman) of each pair of number columns; null where one is constant or unknown throughout.
+
+    Rows in which either of a pair is null don't count for Pearson; ranks are among the known values of a column. Ranks
+    of all columns come from one pass over distinct values and are joined back per column.
+    """
+    df = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in cols])).alias("x")).select("x.*").filter("value is not null")
+    ranks = cut(average_ranks(long, "value", ["kind"]).select("kind", "value", "r"))
     for c in cols:
-        r = r.join(average_ranks(r.withColumn("_g", F.lit(0)), c, ["_g"]).select(c, F.col("r").alias(f"r_{c}")), c)
+        of = bounded(ranks.filter(F.col("kind") == c).select(F.col("value").alias(c), F.col("r").alias(f"r_{c}")))
+        df = df.join(of, c, "left")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     safe = lambda a, b: F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
-    row = r.agg(*[x for a, b in pairs for x in (safe(a, b).alias(f"p_{a}_{b}"), safe(f"r_{a}", f"r_{b}").alias(f"s_{a}_{b}"))])
+    row = df.agg(*[x for a, b in pairs for x in (safe(a, b).alias(f"p_{a}_{b}"), safe(f"r_{a}", f"r_{b}").alias(f"s_{a}_{b}"))])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(f"p_{a}_{b}").alias("pearson"), r6(f"s_{a}_{b}").alias("spearman")) for a, b in pairs])).alias("x")).select("x.*")
 
 
-def degenerate(r: DataFrame, limit: float = 0.999) -> DataFrame:
-    """(feature, kept): features with variance and no earlier kept one they correlate with by `limit` or more.
+def kept_columns(df: DataFrame, cols: list[str], limit: float = 0.999) -> list[str]:
+    """Those of `cols` with variance and without an earlier kept one they correlate with by `limit` or more, either way.
 
-    One pass gathers all sums; the choice over a fixed list of columns is made from that one row.
+    One pass gathers all sums in one row; the choice runs over the list of columns. Nulls count as 0.
     """
-    r = r.withColumn("age", F.datediff("day", F.lit("2019-01-01").cast("date")).cast("double")).withColumn("age_weeks", F.col("age") / 7).withColumn("one", F.lit(1.0))
-    cols = ["rating", "age", "age_weeks", "one"]
-    row = r.agg(*[F.var_pop(c).alias(f"v_{c}") for c in cols], *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(cols) for b in cols[i + 1 :]]).first()
-    kept: list[str] = []
-    for b in cols:
-        v = row[f"v_{b}"] or 0.0
-        if v > 1e-12 and all(abs(row[f"c_{a}_{b}"]) / (row[f"v_{a}"] * v) ** 0.5 < limit for a in kept):
-            kept.append(b)
-    return r.sparkSession.createDataFrame([(c, int(c in kept)) for c in cols], "feature string, kept int")
+    df = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    stats = df.agg(*[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for j in range(len(cols)) for i in range(j)]).first()
+    kept: list[int] = []
+    for j in range(len(cols)):
+        v = stats[f"v_{j}"] or 0.0
+        if v > 1e-12 and all(abs(stats[f"c_{i}_{j}"]) / (stats[f"v_{i}"] * v) ** 0.5 < limit for i in kept):
+            kept.append(j)
+    return [cols[j] for j in kept]
+
+
+def degenerate(df: DataFrame, cols: list[str], limit: float = 0.999) -> DataFrame:
+    """(feature, kept) of each of `cols`, see `kept_columns`."""
+    kept = set(kept_columns(df, cols, limit))
+    return df.sparkSession.createDataFrame([(c, int(c in kept)) for c in cols], "feature string, kept int")
 
 
 def seed_rank_average(r: DataFrame, seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -218,20 +233,26 @@ def protocols(r: DataFrame) -> DataFrame:
     return metrics(unpivot(leaky, cols, "protocol", "y").unionByName(unpivot(clean, cols, "protocol", "y")), ["protocol", "signal"])
 
 
-def single_features(r: DataFrame) -> DataFrame:
-    """AUC and AP of each raw feature by itself, all in one pass."""
-    un, bn = F.count(F.lit(1)).over(Window.partitionBy("u")), F.count(F.lit(1)).over(Window.partitionBy("b"))
-    f = r.withColumns({"reviewer_n": un, "business_n": bn, "deviation": F.abs(F.col("rating") - F.avg("rating").over(Window.partitionBy("b"))), "extremity": F.abs(F.col("rating") - 3)})
-    return metrics(unpivot(f, ["rating", "reviewer_n", "business_n", "deviation", "extremity"], "y"), ["signal"]).select("signal", "auc", "ap")
+def single_features(f: DataFrame, y: DataFrame, cols: list[str]) -> DataFrame:
+    """(signal, auc, ap) of each raw feature of `f` by itself, against y (review_id, y), all in one pass."""
+    return metrics(unpivot(f.join(y, "review_id"), cols, "y"), ["signal"]).select("signal", "auc", "ap")
+
 
+def style_recall(s: DataFrame) -> DataFrame:
+    """(style, n, n_pos, auc, recall...) of (style, y, score): fakes of one style, and of all but it, each against all
+    genuine rows. Fakes without a style count in every `without_`; the styles are few."""
+    styles = F.broadcast(s.filter("y = 1 and style is not null").select(F.col("style").alias("of")).distinct())
+    every = s.join(styles, F.lit(True))
+    names = F.filter(F.array(F.when((F.col("y") == 0) | F.col("style").eqNullSafe(F.col("of")), F.concat(F.lit("only_"), "of")), F.when((F.col("y") == 0) | ~F.col("style").eqNullSafe(F.col("of")), F.concat(F.lit("without_"), "of"))), lambda x: x.isNotNull())
+    return metrics(every.select(F.explode(names).alias("style"), "y", "score"), ["style"]).select("style", "n", "n_pos", "auc", "recall_at_fpr_1", "recall_at_fpr_5")
 
-def style_recall(r: DataFrame) -> DataFrame:
-    """(style, n, n_pos, auc, recall...): fakes of one rating, and of all but it, each against all genuine reviews."""
-    s = signals(r).filter("signal = 'loo_rsr'").join(r.select("review_id", "rating"), "review_id")
-    stars = [1.0, 2.0, 3.0, 4.0, 5.0]
-    names = [F.when((F.col("y") == 0) | (F.col("rating") == v), F.lit(f"only_{v:g}")) for v in stars] + [F.when((F.col("y") == 0) | (F.col("rating") != v), F.lit(f"without_{v:g}")) for v in stars]
-    s = s.withColumn("style", F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())))
-    return metrics(s, ["style"]).select("style", "n", "n_pos", "auc", "recall_at_fpr_1", "recall_at_fpr_5")
+
+def generated_styles(spark: SparkSession, d: str) -> DataFrame:
+    """`style_recall` of lexical richness of `reviews`, low being suspect, by the generator of the fakes."""
+    t = table(spark, d, "reviews", "id", "text", "is_fake", "generator").filter("is_fake is not null")
+    t = t.groupBy(F.col("id").alias("review_id")).agg(F.max("text").alias("text"), F.max(F.col("is_fake").cast("int")).alias("y"), F.max(F.lower(F.trim("generator"))).alias("style"))
+    f = text_features(t, "y", "style")
+    return style_recall(f.select("style", "y", (-F.col("lexical_richness")).alias("score")))
 
 
 def scattered(r: DataFrame) -> DataFrame:
@@ -240,12 +261,28 @@ def scattered(r: DataFrame) -> DataFrame:
     return r.select("review_id").join(held, "review_id", "left")
 
 
+#: The columns that are correlated, and the features of block1 in their order.
+WIDE = ["rating", "age", "y", "user_n", "business_n", "deviation"]
+BLOCK1 = [
+    "reviewer_n_reviews", "reviewer_avg_rd", "reviewer_pr", "reviewer_nr", "reviewer_active_life_days", "reviewer_bst", "reviewer_erd", "reviewer_etg", "reviewer_mnr",
+    "business_n_reviews", "business_rating_std", "business_singleton_reviewer_ratio", "rating_deviation", "singleton", "rating_extremity", "temporal_position", *TEXT,
+]
+
+
+def _wide(r: DataFrame) -> DataFrame:
+    x = beside(r.select("review_id", "u", "b", "rating", "day", "y"), "u", F.count(F.lit(1)).alias("user_n"))
+    x = beside(x, "b", F.count(F.lit(1)).alias("business_n"), F.avg("rating").alias("mean"))
+    return x.withColumn("age", F.datediff("day", F.lit("2019-01-01").cast("date"))).withColumn("deviation", F.round(F.abs(F.col("rating") - F.col("mean")), 9))
+
+
 QUERIES = {
     "e01_e04_metrics": Q(lambda r: metrics(signals(r), ["signal"])), "t01_topk_capture": Q(lambda r: topk(signals(r), ["signal"])), "filter07_slices": Q(lambda r: sliced(r).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))),
-    "e05_by_slice": Q(by_slice), "a14_abstention_thresholds": Q(lambda r: thresholds(signals(r))), "a15_band_summary": Q(band_summary), "e07_stratified_split": Q(stratified_split),
-    "e08_group_split": Q(lambda r: group_split(r, "u")), "u05_split_disjoint": Q(disjoint), "e09_temporal_split": Q(temporal_split), "e10_standardised": Q(standardised), "e16_macro_f1": Q(macro_f1), "e17_linear_fusion": Q(fused),
-    "a19_correlations": Q(correlations), "filter09_degenerate_columns": Q(degenerate), "w13_rank_average": Q(seed_rank_average), "e06_protocols": Q(protocols), "e14_single_features": Q(single_features),
-    "e20_style_recall": Q(style_recall), "e21_scattered": Q(scattered), "w04_percentile_prior": Q(lambda r: percentile_prior(r.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "n").select("n", r6("prior").alias("prior"))),
+    "e05_by_slice": Q(by_slice), "a14_abstention_thresholds": Q(lambda r: thresholds(signals(r)).select("signal", r6("low").alias("low"), r6("high").alias("high"))), "a15_band_summary": Q(band_summary), "e07_stratified_split": Q1(stratified_split),
+    "e08_group_split": Q1(lambda r: group_split(r, "u")), "u05_split_disjoint": Q(disjoint), "e09_temporal_split": Q1(temporal_split), "e10_standardised": Q(standardised), "e16_macro_f1": Q(macro_f1), "e17_linear_fusion": Q(fused),
+    "a19_correlations": Q(lambda r: correlations(_wide(r), "review_id", WIDE)), "filter09_degenerate_columns": lambda s, d: degenerate(cut(block1(cut(facts(s, d)), yelp_texts(s, d))), BLOCK1), "w13_rank_average": Q(seed_rank_average), "e06_protocols": Q(protocols), 
+    "e14_single_features": lambda s, d: (lambda r: single_features(block1(r, yelp_texts(s, d)), r.select("review_id", "y"), BLOCK1))(cut(facts(s, d))),
+    "e20_style_recall": generated_styles, "e21_scattered": Q(scattered), 
+    "w04_percentile_prior": Q1(lambda r: percentile_priors(r.groupBy("u").agg(F.count(F.lit(1)).alias("value")).select(F.lit("n").alias("kind"), "value", F.lit(1).alias("c"))).select(F.col("value").alias("n"), r6("prior").alias("prior"))),
 }
 SG = f"sg as (unpivot (select lo.review_id, lo.y, {', '.join(f'round(loo_{x}, 9) loo_{x}' for x in RELATIONS)}, round(z, 9) burst from lo join rz using (review_id)) on loo_rur, loo_rsr, loo_rtr, burst into name signal value score)"
 _SIG = (LOO, SPINE, ZS, RZ, SG)
@@ -265,7 +302,13 @@ _CN = "cn as (select *, count(*) over (partition by u) un, count(*) over (partit
 _PR = f"""pr as (unpivot (select 'all_labels' protocol, y, {', '.join(f'round(loo_{x}, 9) loo_{x}' for x in RELATIONS)} from lo where review_id not in (select review_id from lt where train = 1)
  union all select 'train_labels', y, {', '.join(f'round(loo_{x}, 9)' for x in RELATIONS)} from lt where train = 0) on loo_rur, loo_rsr, loo_rtr into name signal value score)"""
 _CORR = lambda a, b, n, t: f"round(case when var_pop({a}) > 0 and var_pop({b}) > 0 then corr({a}, {b}) end, 6)"
-_AV = "av as (select rating, age, y, " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2 r_{c}" for c in ("rating", "age", "y")) + " from (select rating, date_diff('day', date '2019-01-01', day)::double age, y from r))"
+_AV = "av as (select *, " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2 r_{c}" for c in WIDE) + " from (select rating, date_diff('day', date '2019-01-01', day)::double age, y, count(*) over (partition by u) user_n, count(*) over (partition by b) business_n, round(abs(rating - avg(rating) over (partition by b)), 9) deviation from r))"
+_PAIRS = [(a, b) for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]]
+_F20 = "f as (" + BEHAVIOR["block1_features"] + ")"
+_LF = f"lf as (unpivot (select review_id, {', '.join(f'{c}::double {c}' for c in BLOCK1)} from f) on {', '.join(BLOCK1)} into name col value v)"
+_STYLE = """ss as (select y, style, -coalesce(len(list_distinct(list_transform(w, lambda v: lower(v)))) / nullif(len(w), 0), 0) score from
+ (select id, y, style, list_filter(regexp_split_to_array(x, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda v: v <> '') w from
+ (select id, coalesce(max(text), '') x, max(is_fake::int) y, max(lower(trim(generator))) style from reviews where is_fake is not null group by id)))"""
 _F1 = lambda x, a, b: f"coalesce(2 * {x} / nullif(2 * {x} + {a} + {b}, 0), 0)"
 SQL = {
     "e01_e04_metrics": sql(_metrics_sql("sg", "signal"), *_SIG),
@@ -273,7 +316,7 @@ SQL = {
  (select *, greatest(1, round_even(n * fraction, 0))::bigint k from (select *, row_number() over (partition by signal order by score desc, review_id) i, count(*) over (partition by signal) n, sum(y) over (partition by signal) pos from sg), (select unnest([0.05, 0.1, 0.2]) fraction))
  where i <= k group by signal, fraction, k""", *_SIG),
     "filter07_slices": sql("select slice, count(*) n from sl group by 1", _CN, _SLICES),
-    "e05_by_slice": sql("select * from (" + _metrics_sql("(select * from sg join sl using (review_id) where signal = 'loo_rsr')", "slice") + ") where n >= 50", *_SIG, _CN, _SLICES),
+    "e05_by_slice": sql("select * from (" + _metrics_sql("(select * from sg join sl using (review_id))", "signal, slice") + ") where n >= 50", *_SIG, _CN, _SLICES),
     "a14_abstention_thresholds": sql("select signal, round(quantile_cont(score, 0.1), 6) low, round(quantile_cont(score, 0.9), 6) high from sg group by 1", *_SIG),
     "a15_band_summary": sql("""select signal, band, count(*) n, round(avg(y), 6) fraud_rate, round(count(*) / sum(count(*)) over (partition by signal), 6) as share from (select signal, y, case when round(score, 6) >= round(hi, 6) then 'suspicious' when round(score, 6) <= round(lo, 6) then 'genuine' else 'uncertain' end band
  from sg join (select signal, quantile_cont(score, 0.1) lo, quantile_cont(score, 0.9) hi from sg group by 1) using (signal)) group by 1, 2""", *_SIG),
@@ -286,14 +329,16 @@ SQL = {
  (select sg.signal, t, sum(case when round(score, 6) >= t then y else 0 end) tp, sum(case when round(score, 6) >= t then 1 - y else 0 end) fp, sum(case when round(score, 6) < t then y else 0 end) fn, sum(case when round(score, 6) < t then 1 - y else 0 end) tn
  from sg join (select distinct signal, round(unnest(quantile_cont(score, [{', '.join(str(i / 100) for i in range(1, 100))}])), 6) t from sg group by signal) q on q.signal = sg.signal group by 1, 2))) where i = 1""", *_SIG),
     "e17_linear_fusion": sql("select review_id, round(sum(case when hi > lo_ then (score - lo_) / (hi - lo_) else 0 end) / 4, 6) fused from sg join (select signal, min(score) lo_, max(score) hi from sg group by 1) using (signal) group by 1", *_SIG),
-    "a19_correlations": sql(" union all ".join(f"select '{a}' a, '{b}' b, {_CORR(a, b, 0, 0)} pearson, {_CORR('r_' + a, 'r_' + b, 0, 0)} spearman from av" for a, b in (("rating", "age"), ("rating", "y"), ("age", "y"))), _AV),
-    "filter09_degenerate_columns": sql("""select unnest(['rating', 'age', 'age_weeks', 'one']) feature, unnest([(v0 > 1e-12)::int, (v1 > 1e-12 and not (v0 > 1e-12 and c01 >= 0.999))::int,
- (v2 > 1e-12 and not (v0 > 1e-12 and c02 >= 0.999) and not (v1 > 1e-12 and not (v0 > 1e-12 and c01 >= 0.999) and c12 >= 0.999))::int, 0]) kept from
- (select var_pop(rating) v0, var_pop(a) v1, var_pop(a / 7) v2, abs(corr(rating, a)) c01, abs(corr(rating, a / 7)) c02, abs(corr(a, a / 7)) c12 from (select rating, date_diff('day', date '2019-01-01', day)::double a from r))"""),
+    "a19_correlations": sql(" union all ".join(f"select '{a}' a, '{b}' b, {_CORR(a, b, 0, 0)} pearson, {_CORR('r_' + a, 'r_' + b, 0, 0)} spearman from av" for a, b in _PAIRS), _AV),
+    "filter09_degenerate_columns": f"""with recursive {_F20}, {_LF}, nm as (select unnest({BLOCK1!r}) feature, unnest(range(1, {len(BLOCK1) + 1})) i),
+ vr as (select i, var_pop(v) v from lf join nm on feature = col group by 1), cr as (select a.i i, b.i j, abs(corr(x.v, y.v)) c from nm a join nm b on a.i < b.i join lf x on x.col = a.feature join lf y on y.col = b.feature and y.review_id = x.review_id
+  where a.i in (select i from vr where v > 1e-12) and b.i in (select i from vr where v > 1e-12) group by 1, 2),
+ g as (select 0 j, []::bigint[] kept union all select j + 1, case when exists (select 1 from vr where vr.i = g.j + 1 and vr.v > 1e-12) and not exists (select 1 from cr where cr.j = g.j + 1 and c >= 0.999 and list_contains(g.kept, cr.i)) then list_append(kept, j + 1) else kept end from g where j < {len(BLOCK1)})
+ select feature, list_contains((select kept from g where j = {len(BLOCK1)}), i)::int kept from nm""",
     "w13_rank_average": sql("select review_id, round(avg(i), 6) mean_rank from (select review_id, row_number() over (partition by s order by md5(review_id || '|' || s), review_id) i from r, (select unnest([1, 2, 3]) s)) group by 1"),
     "e06_protocols": sql(_metrics_sql("pr", "protocol, signal"), LOO, LOOT, _PR),
-    "e14_single_features": sql("select signal, auc, ap from (" + _metrics_sql("(unpivot (select y, round(rating, 9) rating, round(un::double, 9) reviewer_n, round(bn::double, 9) business_n, round(abs(rating - avg(rating) over (partition by b)), 9) deviation, round(abs(rating - 3), 9) extremity from cn) on rating, reviewer_n, business_n, deviation, extremity into name signal value score)", "signal") + ")", _CN),
-    "e20_style_recall": sql("select style, n, n_pos, auc, recall_at_fpr_1, recall_at_fpr_5 from (" + _metrics_sql("(select style, score, sg.y from sg join r using (review_id), (select 'only_' || v style, v, true inside from (select unnest([1, 2, 3, 4, 5]) v) union all select 'without_' || v, v, false from (select unnest([1, 2, 3, 4, 5]) v)) where signal = 'loo_rsr' and (sg.y = 0 or (rating = v) = inside))", "style") + ")", *_SIG),
+    "e14_single_features": sql("select signal, auc, ap from (" + _metrics_sql("(select col signal, round(v, 9) score, y from lf join r using (review_id))", "signal") + ")", _F20, _LF),
+    "e20_style_recall": f"with {_STYLE} select style, n, n_pos, auc, recall_at_fpr_1, recall_at_fpr_5 from (" + _metrics_sql("(select inside || g style, round(score, 6) score, y from ss, (select distinct style g from ss where y = 1 and style is not null), (select unnest(['only_', 'without_']) inside) where y = 0 or (style is not distinct from g) = (inside = 'only_'))", "style") + ")",
     "e21_scattered": sql("select review_id, case when train = 0 then round(loo_rsr, 6) end held_out from lt", LOOT),
     "w04_percentile_prior": sql("select distinct n, round(0.05 + (rank() over (order by n) + (count(*) over (partition by n) - 1) / 2 - 1) / greatest(count(*) over () - 1, 1) * 0.9, 6) prior from (select u, count(*) n from r group by u)"),
 }

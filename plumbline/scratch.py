@@ -10,7 +10,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,12 +28,35 @@ def folder(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df`, written to the shared folder and read again."""
+def _written(df: DataFrame, codec: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{folder(spark)}/plumbline-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._plumbline_at = at
+    return out
+
+
+def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """`df`, written to the shared folder and read again."""
+    return _written(df, codec)
+
+
+def counted(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, int]:
+    """`cut` and the number of its rows, counted while they are written."""
+    seen = Observation()
+    out = _written(df.observe(seen, F.count(F.lit(1)).alias("n")), codec)
+    return out, seen.get["n"]
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Removes what `cut` wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        at = getattr(df, "_plumbline_at", None)
+        if at:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -41,8 +64,12 @@ def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
 
     Beyond that the mark is left off and the join shuffles as usual.
     """
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    df, n = counted(df)
+    if n > rows:
+        return df
+    out = F.broadcast(df)
+    out._plumbline_at = df._plumbline_at
+    return out
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
