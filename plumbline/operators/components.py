@@ -3,16 +3,39 @@
 Each round every node joins the neighbour (or itself) of least priority, a hash that changes with the round; the graph
 of what is left is made of the distinct edges between the targets. A round leaves at most a constant share of the nodes
 in expectation, whatever the shape, so rounds grow with the logarithm of the nodes. A hub costs one partial
-aggregation (a minimum) and joins whose other side has one row per node; AQE splits the hub's rows.
+aggregation (a minimum) and joins whose other side has one row per node; AQE splits the hub's rows. Once no more than
+LOCAL edges are left, counted while they are written, one task joins the rest.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.scratch import counted, cut, forget
 
 MAX_ROUNDS = 60
 SMALL = 500_000  # rows of two numbers that may be broadcast
+LOCAL = 200_000  # edges of two numbers that one task may hold (some MB)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, t) of at most LOCAL edges: each node and one of its component, the same for all of it."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    v = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array([find(x) for x in v], pa.int64())], ["v", "t"])
 
 
 def _prio(c: Column, r: int) -> Column:
@@ -25,15 +48,18 @@ def components(edges: DataFrame) -> DataFrame:
     A self-loop makes its node a component. Repeated edges are harmless; no edges give no rows.
     """
     e = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).filter("src is not null and dst is not null")
-    e = cut(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    e, n = counted(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     steps: list[DataFrame] = []  # (v, t): where the nodes that were left in a round went; ever fewer
     for r in range(MAX_ROUNDS):
+        if n <= LOCAL:
+            steps.append(cut(e.coalesce(1).mapInArrow(_joined, "v bigint, t bigint")))
+            break
         ends = e.select(F.col("src").alias("v"), _prio(F.col("dst"), r).alias("p")).unionByName(e.select(F.col("dst").alias("v"), _prio(F.col("src"), r).alias("p")))
         # In the first round loops name their node; later there are none.
         target = ends.groupBy("v").agg(F.min("p").alias("p")).withColumn("p", F.least("p", _prio(F.col("v"), r)))
-        target, n = counted(target.select("v", F.col("p.v").alias("t")))
+        target, nodes = counted(target.select("v", F.col("p.v").alias("t")))
         steps.append(target)
-        side = F.broadcast(target) if n <= SMALL else target
+        side = F.broadcast(target) if nodes <= SMALL else target
         left, n = counted(
             e.join(side.select(F.col("v").alias("src"), F.col("t").alias("s")), "src")
             .join(side.select(F.col("v").alias("dst"), F.col("t").alias("d")), "dst")
@@ -41,8 +67,6 @@ def components(edges: DataFrame) -> DataFrame:
         )
         forget(e)
         e = left
-        if not n:
-            break
     else:
         raise RuntimeError(f"components did not end within {MAX_ROUNDS} rounds")
     # From the last step back: a step's targets either went on in the next one or stayed.

@@ -1,8 +1,8 @@
 """Problem 2: per-key results where a few keys hold most rows, by two-stage salted aggregation.
 
 A first count finds the heavy keys, those with HEAVY or more of all rows, of which there are at most 1/HEAVY. Their rows
-get a salt (a hash of the whole row, so a task that is run again gives the same), partial results are built per key and
-salt, and merged by key. Rows of other keys keep salt 0.
+get a salt (a hash of the row, so a task that is run again gives the same), partial results are built per key and salt,
+and merged by key. Rows of other keys keep salt 0.
 """
 from __future__ import annotations
 
@@ -13,15 +13,14 @@ from plumbline.sources.tables import table
 HEAVY, SALTS = 0.02, 64
 
 
-def key_counts(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n); null is no key. Map-side counts, so a key costs at most one row per task."""
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-
-
 def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY) -> DataFrame:
-    """(key, n) of keys with at least `share` of all `rows`, counted with rows that have no key: at most 1/share rows."""
-    n = rows.count()
-    return key_counts(rows, key).filter(F.col("n") >= share * n)
+    """(key, n) of keys with at least `share` of all `rows`, counted with rows that have no key: at most 1/share rows.
+
+    Null is no key. Counts are made per task first, so a key costs at most one row per task; one scan.
+    """
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(n.agg(F.sum("n").alias("_total")))  # one row
+    return n.filter(F.col(key).isNotNull()).crossJoin(total).filter(F.col("n") >= share * F.col("_total")).drop("_total")
 
 
 def salted(rows: DataFrame, key: str, identity: list[str | Column], share: float = HEAVY, salts: int = SALTS) -> DataFrame:
@@ -35,31 +34,43 @@ def salted(rows: DataFrame, key: str, identity: list[str | Column], share: float
     )
 
 
+def salted_counts(rows: DataFrame, key: str, identity: list[str | Column]) -> DataFrame:
+    """(key, n_rows): partial counts by key and salt, merged by key. Null is no key."""
+    part = salted(rows.filter(F.col(key).isNotNull()), key, identity).groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("n"))
+    return part.groupBy(key).agg(F.sum("n").alias("n_rows"))
+
+
+def _known(c: str) -> Column:
+    return F.when(F.col(c) != 0, F.col(c)) if c == "reviewer_id" else F.col(c)
+
+
 def profile(rows: DataFrame, key: str, other: str) -> DataFrame:
     """(key_id, n_rows, n_reviews, n_others, n_texts, n_chars, first_date, last_date, busiest_day, busiest_day_reviews).
 
     n_rows counts rows as stored; the rest counts each review_id once, with its greatest known value where repeated rows
     differ. n_others: distinct known values of `other` (0 is none for reviewers). Ties of the busiest day go to the
     earlier. Null keys, and reviewer 0, are no keys. Empty tables give no rows.
+
+    Rows are shuffled once, by key and salt; the rows of a review have one salt. Reviews, totals, days and others of a key
+    and salt are made in place from there, and only these partial results move to be merged.
     """
-    valid = lambda c: F.when(F.col(c) != 0, F.col(c)) if c == "reviewer_id" else F.col(c)
-    r = rows.select("review_id", valid(key).cast("bigint").alias("k"), valid(other).cast("bigint").alias("o"), F.to_date("date").alias("day"), F.length(F.trim("text")).alias("chars"))
-    r = r.filter("k is not null")
-    # Stage one, by key and salt. Rows of one review fall under one salt, as do those of one day and one other.
-    by = lambda c: salted(r, "k", [c])
-    review = by("review_id").groupBy("k", "_salt", "review_id").agg(F.count(F.lit(1)).alias("rows"), F.max("day").alias("day"), F.max("chars").alias("chars"), F.max("o").alias("o"))
+    r = rows.select("review_id", _known(key).cast("bigint").alias("k"), _known(other).cast("bigint").alias("o"), F.to_date("date").alias("day"), F.length(F.trim("text")).alias("chars"))
+    r = salted(r.filter("k is not null"), "k", ["review_id"]).repartition("k", "_salt")
+    review = r.groupBy("k", "_salt", "review_id").agg(F.count(F.lit(1)).alias("rows"), F.max("day").alias("day"), F.max("chars").alias("chars"), F.max("o").alias("o"))
     base = review.groupBy("k", "_salt").agg(
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("reviews"), F.count(F.when(F.col("chars") > 0, 1)).alias("texts"),
         F.sum("chars").alias("chars"), F.min("day").alias("first"), F.max("day").alias("last"),
     )
-    others = review.filter("o is not null").groupBy("k", "o").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count(F.lit(1)).alias("n_others"))
-    days = review.filter("day is not null").groupBy("k", "day").agg(F.count(F.lit(1)).alias("n"))
-    top = days.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("m"), "day")).alias("t"))
+    others = review.filter("o is not null").select("k", "_salt", "o").distinct()
+    days = review.filter("day is not null").groupBy("k", "_salt", "day").agg(F.count(F.lit(1)).alias("n"))
     # Stage two: merge the partial results.
     merged = base.groupBy("k").agg(
         F.sum("rows").alias("n_rows"), F.sum("reviews").alias("n_reviews"), F.sum("texts").alias("n_texts"), F.coalesce(F.sum("chars"), F.lit(0)).cast("bigint").alias("n_chars"),
         F.min("first").alias("first_date"), F.max("last").alias("last_date"),
     )
+    others = others.select("k", "o").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_others"))
+    days = days.groupBy("k", "day").agg(F.sum("n").alias("n"))
+    top = days.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("m"), "day")).alias("t"))
     return (
         merged.join(others, "k", "left").join(top, "k", "left")
         .select(
@@ -70,11 +81,17 @@ def profile(rows: DataFrame, key: str, other: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """key_column, key_id of the businesses and reviewers that hold at least 2 % of the rows of `yelp` as stored."""
-    y = table(spark, d, "yelp", "business_id", "reviewer_id")
-    y = y.withColumn("reviewer_id", F.when(F.col("reviewer_id") != 0, F.col("reviewer_id")))
-    one = lambda c: heavy_keys(y, c).select(F.lit(c).alias("key_column"), F.col(c).cast("bigint").alias("key_id"))
-    return one("business_id").unionByName(one("reviewer_id"))
+    """key_column, key_id of the businesses and reviewers that hold at least 2 % of the rows of `yelp` as stored.
+
+    The counts are the merged partial counts of the two-stage aggregation.
+    """
+    y = table(spark, d, "yelp", "review_id", "business_id", "reviewer_id").withColumn("reviewer_id", _known("reviewer_id"))
+    n = F.broadcast(y.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    out = None
+    for c in ("business_id", "reviewer_id"):
+        one = salted_counts(y, c, ["review_id"]).crossJoin(n).filter(F.col("n_rows") >= HEAVY * F.col("_n")).select(F.lit(c).alias("key_column"), F.col(c).cast("bigint").alias("key_id"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p2_businesses(spark: SparkSession, d: str) -> DataFrame:

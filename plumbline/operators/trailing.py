@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from plumbline.sources.tables import table
 
 PERIODS = (7, 30)
+MILLION = 1_000_000
 
 
 def day_of(c: str) -> Column:
@@ -41,10 +42,11 @@ def valid_reviews(meta: DataFrame) -> DataFrame:
 
 
 def stretches(reviews: DataFrame, entity: str, periods: tuple[int, ...] = PERIODS) -> DataFrame:
-    """(entity, day, until, last_active, n_p, total_p, known_p for each period): totals that hold from `day` up to before
+    """(entity, day, until, active, n_p, total_p in millionths, known_p for each period): totals that hold from `day` up to before
     `until`, within first and last review of the entity. Null entities are none."""
     r = reviews.select(F.col(entity).alias("_who"), "day", "rating").filter("_who is not null and day is not null")
-    daily = r.groupBy("_who", "day").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rating"), F.lit(0.0)).alias("t"), F.count("rating").alias("k"))
+    # Whole millionths: what is added and taken away again leaves nothing, whatever the amounts.
+    daily = r.groupBy("_who", "day").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.round(F.col("rating") * MILLION).cast("bigint")), F.lit(0)).cast("bigint").alias("t"), F.count("rating").alias("k"))
     daily = daily.withColumn("_last", F.max("day").over(Window.partitionBy("_who")))
     names = [f"{x}_{p}" for p in periods for x in ("n", "total", "known")]
 
@@ -77,12 +79,12 @@ def calendar(s: DataFrame) -> DataFrame:
 def rolling(reviews: DataFrame, entity: str, periods: tuple[int, ...] = PERIODS) -> DataFrame:
     """(entity, day, n_p, total_p, avg_p): every calendar day from first to last review of the entity.
 
-    n counts reviews, total and avg their known ratings; avg is null where the period holds none.
+    n counts reviews, total and avg their known ratings, to six places; avg is null where the period holds none.
     """
     c = calendar(stretches(reviews, entity, periods))
     out = []
     for p in periods:
-        out += [F.col(f"n_{p}").cast("bigint").alias(f"n_{p}"), F.round(f"total_{p}", 6).alias(f"total_{p}"), F.round(F.try_divide(f"total_{p}", f"known_{p}"), 6).alias(f"avg_{p}")]
+        out += [F.col(f"n_{p}").cast("bigint").alias(f"n_{p}"), (F.col(f"total_{p}") / MILLION).alias(f"total_{p}"), F.round(F.try_divide(F.col(f"total_{p}") / MILLION, F.col(f"known_{p}")), 6).alias(f"avg_{p}")]
     return c.select(entity, "day", *out)
 
 

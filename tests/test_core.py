@@ -100,12 +100,17 @@ def test_hot_keys(spark, folder):
     y = spark.createDataFrame(rows, "review_id bigint, business_id bigint, reviewer_id bigint, date string, text string")
     s = hotkeys.salted(y, "business_id", ["review_id"])
     assert s.count() == len(rows) and s.filter("business_id = 1").select("_salt").distinct().count() > 10 and s.filter("business_id <> 1 and _salt <> 0").count() == 0
+    assert by(hotkeys.salted_counts(y, "business_id", ["review_id"]), "business_id", "n_rows")[1] == 201
+    folder.write("yelp", rows, "review_id bigint, business_id bigint, reviewer_id bigint, date string, text string")
+    assert {(r.key_column, r.key_id) for r in hotkeys.p2_found(spark, folder.at).collect()} == {("business_id", 1), ("reviewer_id", 5)}
     p = {r.key_id: r for r in hotkeys.profile(y, "business_id", "reviewer_id").collect()}
     assert p[1].n_rows == 201 and p[1].n_reviews == 200 and p[1].n_others == 1
     assert hotkeys.profile(y.filter("false"), "business_id", "reviewer_id").count() == 0 and hotkeys.heavy_keys(y.filter("false"), "business_id").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 20, components.LOCAL])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     rnd = random.Random(3)
     for shape in ("path", "star", "random", "none"):
         e = {"path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 60)], "random": [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)], "none": []}[shape]
