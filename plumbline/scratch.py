@@ -28,10 +28,18 @@ def folder(spark: SparkSession) -> str:
     return at
 
 
+#: Has an execution's shuffle files removed when it ends, not when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _written(df: DataFrame, codec: str) -> DataFrame:
     spark = df.sparkSession
-    at = f"{folder(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
+    at, was = f"{folder(spark)}/plumbline-{uuid.uuid4().hex}", spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(at)
+    finally:
+        spark.conf.set(CLEAN, was)
     out = spark.read.schema(df.schema).parquet(at)
     out._plumbline_at = at
     return out
