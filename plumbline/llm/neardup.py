@@ -5,9 +5,9 @@ Steps, each a distributed stage:
 1. `sketched`: one Arrow pass over the texts gives every record its class (hash of the word sequence, so copies share
    one) and its sketch; written once to the shared folder. Within a task only the first record of a class carries a
    sketch, so that a mass of copies doesn't reach the bands.
-2. `candidates`: BANDS bands of ROWS registers. The keys of a batch go out packed, ten bytes per class and band, to
-   BANDS x `parts` buckets, where `parts` grows with the records so that a bucket stays near BUCKET entries; each
-   bucket is sorted in NumPy and its runs of equal keys give pairs.
+2. `candidates`: BANDS bands of ROWS registers, in WAVES. The keys of a batch go out packed, nine bytes per class and
+   band, to buckets that are partitions of their own; there are as many of a band as keep a bucket near BUCKET entries.
+   Each bucket is sorted in NumPy and its runs of equal keys give pairs.
 3. `verified`: pairs whose corrected estimate is under FLOOR go (6 standard errors under the threshold); the rest meets
    its texts and is kept if the similarity of the whole bags reaches the threshold.
 4. `expanded`: pairs of classes become pairs of records. Classes of many copies are not multiplied out: beyond FULL
@@ -19,6 +19,7 @@ the same where only words of over three letters are replaced (0.9895, 0.9997, al
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.llm import sketch as S
-from plumbline.scratch import bounded, cut
+from plumbline.scratch import bounded, cut, forget
 
-BANDS, ROWS = 80, 8
-BUCKET = 1_000_000
+BANDS, ROWS, WAVES = 80, 8, 2
+BUCKET = 500_000  # entries: some MB a task, and few false pairs by the 32 bits of a key
+PACK = 50_000  # sketches packed at once, so that blobs stay long where buckets are many
 FLOOR, THRESHOLD, LEAST = 0.45, 0.7, 8
 FULL = 10_000
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -66,76 +68,86 @@ def sketched(df: DataFrame, least: int = LEAST) -> DataFrame:
     return cut(df.select("g", "side", "id", "text").mapInArrow(run, "g int, side int, id bigint, fp bigint, sk binary"), "lz4")
 
 
+def _run_pairs(x: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b) of classes with equal keys in the entries of one bucket."""
+    wide = np.zeros((len(x), 8), np.uint8)
+    wide[:, :5] = x[:, 4:]
+    key, fp = np.ascontiguousarray(x[:, :4]).view(np.uint32)[:, 0], wide.view(np.uint64)[:, 0]
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    key, fp = key[new], fp[new]
+    at, step = np.arange(len(key)), 0
+    while True:  # at distance `step` within runs; what is left of a run shrinks by one each time
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            return
+        for s in range(0, len(at), 200_000):
+            p = at[s : s + 200_000]
+            a, b = fp[p], fp[p + step]
+            if across:
+                d = a ^ b  # 1: the same words, which the hash of the record has found
+                m = ((d & np.uint64(1)) == 1) & (d > 1)
+                a, b = a[m], b[m]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], ["a", "b"])
+
+
 def candidates(sk: DataFrame, across: bool) -> DataFrame:
-    """Distinct (a, b), a < b: 40-bit ends of classes that share a band. across: only of different sides and words."""
-    n = sk.filter("sk is not null").count()
-    parts = max(1, -(-n // BUCKET))
+    """Distinct (a, b), a < b: 40-bit ends of classes that share a band. across: only of different sides and words.
+
+    Bands go in WAVES, one after the other, so that the keys of one wave only are on disk at a time.
+    """
+    some = sk.filter("sk is not null").select("g", "fp", "sk")
+    parts = max(1, -(-some.count() // BUCKET))
     pick = S.picks(BANDS, ROWS)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.frombuffer(b"".join(b.column("sk").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            keys = S.band_keys(x, pick, b.column("g").to_numpy(zero_copy_only=False))
-            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64) & _LOW40
+    def pack(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in batches:
+                held.append(b)
+                n += b.num_rows
+                if n >= PACK:
+                    yield packed(held)
+                    held, n = [], 0
+            if n:
+                yield packed(held)
+
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            x = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            keys = S.band_keys(x, pick[first:last], t.column("g").to_numpy())
+            fp = (t.column("fp").to_numpy().view(np.uint64) & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5]
             buckets, blobs = [], []
             for band, k in enumerate(keys):
                 part = (k % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                entries = np.concatenate([(k >> np.uint64(32)).astype(np.uint32).view(np.uint8).reshape(-1, 4), fp], 1)[order]
                 for p in np.flatnonzero(np.diff(cuts)):
-                    at = order[cuts[p] : cuts[p + 1]]
-                    planes = np.concatenate([(k[at] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5], fp[at].view(np.uint8).reshape(-1, 8)[:, :5]], 1)
                     buckets.append(band * parts + int(p))
-                    blobs.append(planes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-    def pairs(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        x = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 10)
-        wide = np.zeros((2, len(x), 8), np.uint8)
-        wide[0, :, :5], wide[1, :, :5] = x[:, :5], x[:, 5:]
-        key, fp = wide[0].view(np.uint64)[:, 0], wide[1].view(np.uint64)[:, 0]
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-        key, fp = key[new], fp[new]
-        at, step = np.arange(len(key)), 0
-        while True:  # at distance `step` within runs; what is left of a run shrinks by one each time
-            step += 1
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                return
-            for s in range(0, len(at), 200_000):
-                p = at[s : s + 200_000]
-                a, b = fp[p], fp[p + step]
-                if across:
-                    x = a ^ b  # 1: the same words, which the hash of the record has found
-                    m = ((x & np.uint64(1)) == 1) & (x > 1)
-                    a, b = a[m], b[m]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
+                    blobs.append(entries[cuts[p] : cuts[p + 1]].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        return run
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-                if bucket != now and held:
-                    yield from pairs(held)
-                    held = []
-                now = bucket
-                held.append(blob)
-        if held:
-            yield from pairs(held)
-
-    packed = sk.filter("sk is not null").select("g", "fp", "sk").mapInArrow(pack, "bucket int, blob binary")
-    return (
-        packed.repartition(BANDS * parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(collide, "a bigint, b bigint")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+        # A partition is one bucket: of some BUCKET entries, whatever the data, as a class has one entry a band.
+        blobs = [x for b in batches for x in b.column("blob").to_pylist()]
+        if blobs:
+            yield from _run_pairs(np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 9), across)
+
+    out = []
+    for first in range(0, BANDS, BANDS // WAVES):
+        wave = some.mapInArrow(pack(first, first + BANDS // WAVES), "bucket int, blob binary").repartitionById(BANDS // WAVES * parts, F.col("bucket"))
+        out.append(cut(wave.mapInArrow(collide, "a bigint, b bigint").distinct()))
+    pairs = cut(functools.reduce(DataFrame.unionByName, out).distinct())
+    forget(*out)
+    return pairs
 
 
 def _low(fp: str) -> Column:
@@ -156,7 +168,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(sk: DataFrame, cand: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(fa, fb, similarity) of classes whose bags are similar by `threshold` or more; texts: (g, side, id, text)."""
+    """(fa, fb, similarity) of classes whose bags are similar by `threshold` or more, written; texts: (g, side, id, text).
+
+    `cand` and what is made on the way are removed.
+    """
     # Sketches of classes in a candidate pair only; the others move once and no further.
     met = bounded(cand.select(F.explode(F.array("a", "b")).alias("low")).distinct())
     one = sk.filter("sk is not null").withColumn("low", _low("fp")).join(met, "low", "left_semi")
@@ -167,16 +182,20 @@ def verified(sk: DataFrame, cand: DataFrame, texts: DataFrame, threshold: float
         cand.join(left, "a").join(right, "b").filter(_estimate("ska", "skb") >= FLOOR)
         .select("fa", "fb", "ra", "rb")
     )
+    forget(cand, met, one)
     wanted = bounded(close.select(F.explode(F.array("ra", "rb")).alias("r")).select("r.*").distinct())
     # Rows stored twice have one text; max makes it one row.
     text = texts.join(wanted, ["g", "side", "id"], "left_semi").groupBy("g", "side", "id").agg(F.max("text").alias("text"))
     text = cut(text.select(F.struct("g", "side", "id").alias("r"), "text"))
-    return (
+    forget(wanted)
+    out = cut(
         close.join(text.select(F.col("r").alias("ra"), F.col("text").alias("ta")), "ra")
         .join(text.select(F.col("r").alias("rb"), F.col("text").alias("tb")), "rb")
         .withColumn("similarity", _similarity("ta", "tb")).filter(F.col("similarity") >= threshold)
         .select("fa", "fb", "similarity")
     )
+    forget(close, text)
+    return out
 
 
 def classes(sk: DataFrame) -> DataFrame:
