@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm import bpe
 from plumbline.scratch import cut
-from plumbline.sources.tables import table
+from plumbline.sources.tables import spread, table
 
 CAPACITY, SALTS = 1024, 64
 
@@ -90,7 +90,7 @@ def packed(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", sizes=True)
+    return bpe.encoded(spread(table(spark, d, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text", sizes=True)
 
 
 def containers(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.scratch import cut
-from plumbline.sources.tables import table
+from plumbline.sources.tables import spread, table
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 ROUNDS, PRIOR = 3, 1.0
@@ -269,7 +269,7 @@ def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text")
+    return spread(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
