@@ -4,6 +4,9 @@ Curves come from running sums over distinct scores (`prefix.cumulative`), so tha
 """
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.operators.behavior import SQL as BEHAVIOR, Q, Q1, TEXT, block1, r6, text_features, yelp_texts
@@ -199,14 +202,15 @@ def correlations(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 def kept_columns(df: DataFrame, cols: list[str], limit: float = 0.999) -> list[str]:
     """Those of `cols` with variance and without an earlier kept one they correlate with by `limit` or more, either way.
 
-    One pass gathers all sums in one row; the choice runs over the list of columns. Nulls count as 0.
+    Distributed passes give variances and the matrix of correlations; the choice runs over the list of columns. Nulls count as 0.
     """
-    df = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    stats = df.agg(*[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for j in range(len(cols)) for i in range(j)]).first()
+    clean = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    x = VectorAssembler(inputCols=cols, outputCol="x").transform(clean).select("x")
+    spread = x.select(Summarizer.variance(F.col("x"))).first()[0]
+    corr = np.abs(Correlation.corr(x, "x").first()[0].toArray())  # columns x columns
     kept: list[int] = []
     for j in range(len(cols)):
-        v = stats[f"v_{j}"] or 0.0
-        if v > 1e-12 and all(abs(stats[f"c_{i}_{j}"]) / (stats[f"v_{i}"] * v) ** 0.5 < limit for i in kept):
+        if spread[j] > 1e-12 and all(corr[i, j] < limit for i in kept):
             kept.append(j)
     return [cols[j] for j in kept]
 
