@@ -5,7 +5,7 @@ on the row; the frame is written to the shared folder each round, so the plan st
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.behavior import Q, r6
 from plumbline.operators.bursts import RZ, SPINE, ZS, burst_z
@@ -73,8 +73,8 @@ def _damped(old: Column, new: Column) -> Column:
 def propagated(p: DataFrame, rounds: int | None = None) -> DataFrame:
     """(review_id, belief) after `rounds` Jacobi rounds, or until no belief moves by TOLERANCE, looked at every round.
 
-    What a user or product hears is summed per task and per key and joined back; a round is written once, and the greatest
-    move is taken down while it is written. The round before is removed.
+    What a user or product hears is summed per task and per key and joined back; a round is written once, and the round
+    before is removed.
     """
     m = p.select("review_id", "u", "b", _logit(F.col("prior_r")).alias("lr"), _logit(F.col("prior_u")).alias("lu"), _logit(F.col("prior_b")).alias("lb"), *[F.lit(0.0).alias(c) for c in ("ur", "ru", "br", "rb")])
     m = cut(m.withColumn("belief", _sigmoid(F.col("lr"))))
@@ -84,11 +84,10 @@ def propagated(p: DataFrame, rounds: int | None = None) -> DataFrame:
             _damped(F.col("ur"), _passed(F.col("lu") + F.col("su") - F.col("ru"))).alias("ur"), _damped(F.col("br"), _passed(F.col("lb") + F.col("sb") - F.col("rb"))).alias("br"),
             _damped(F.col("ru"), _passed(F.col("lr") + F.col("br"))).alias("ru"), _damped(F.col("rb"), _passed(F.col("lr") + F.col("ur"))).alias("rb"),
         ).withColumn("belief", _sigmoid(F.col("lr") + F.col("ur") + F.col("br")))
-        moved = Observation()
-        x = cut(x.observe(moved, F.max(F.abs(F.col("belief") - F.col("was"))).alias("most")).drop("was"))
+        x = cut(x)
         forget(m)
         m = x
-        if rounds is None and (moved.get["most"] or 0.0) < TOLERANCE:
+        if rounds is None and (m.agg(F.max(F.abs(F.col("belief") - F.col("was")))).first()[0] or 0.0) < TOLERANCE:
             break
     return m.select("review_id", "belief")
 

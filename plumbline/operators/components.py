@@ -4,7 +4,7 @@ Each round every node joins the neighbour (or itself) of least priority, a hash
 of what is left is made of the distinct edges between the targets. A round leaves at most a constant share of the nodes
 in expectation, whatever the shape, so rounds grow with the logarithm of the nodes. A hub costs one partial
 aggregation (a minimum) and joins whose other side has one row per node; AQE splits the hub's rows. Once no more than
-LOCAL edges are left, counted while they are written, one task joins the rest.
+LOCAL edges are left, counted when they are written, one task joins the rest.
 """
 from __future__ import annotations
 
