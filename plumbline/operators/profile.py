@@ -5,11 +5,11 @@ doesn't define the cluster).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.behavior import Q, r6
 from plumbline.operators.bursts import RZ, SPINE, ZS, participation
-from plumbline.operators.facts import sql
+from plumbline.operators.facts import beside, sql
 from plumbline.operators.relations import same_day
 
 SIZE = 5  # least reviews of a cluster
@@ -27,8 +27,8 @@ def cluster_edges(r: DataFrame) -> DataFrame:
     The backdrop is a relation by key, so the edges inside are sums over (business, key) and no edge is made.
     """
     r = same_day(r)
-    s = r.withColumn("deg", (F.count(F.lit(1)).over(Window.partitionBy("k_rud")) - 1))
-    g = s.groupBy("b", "k_rud").agg(F.count(F.lit(1)).alias("c"), F.sum("deg").alias("d"))
+    n = r.groupBy("b", "k_rud").agg(F.count(F.lit(1)).alias("c"))
+    g = beside(n, "k_rud", F.sum("c").alias("all")).withColumn("d", F.col("c") * (F.col("all") - 1))
     return g.groupBy("b").agg(F.sum("c").alias("k"), F.sum("d").alias("degree"), F.sum(F.col("c") * (F.col("c") - 1)).alias("inside"))
 
 
@@ -52,8 +52,8 @@ def synchrony(r: DataFrame) -> DataFrame:
 
 
 def single_share(r: DataFrame) -> DataFrame:
-    one = (F.count(F.lit(1)).over(Window.partitionBy("u")) == 1).cast("double")
-    return r.select("b", "u", one.alias("one")).groupBy("b").agg(F.count(F.lit(1)).alias("n_reviews"), F.count_distinct("u").alias("n_accounts"), r6(F.avg("one")).alias("single_share"))
+    one = beside(r.select("b", "u"), "u", (F.count(F.lit(1)) == 1).cast("double").alias("one"))
+    return one.groupBy("b").agg(F.count(F.lit(1)).alias("n_reviews"), F.count_distinct("u").alias("n_accounts"), r6(F.avg("one")).alias("single_share"))
 
 
 def cards(r: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.operators.behavior import r6
+from plumbline.operators.behavior import active_days, r6
 from plumbline.operators.evaluate import md5_of
 from plumbline.operators.facts import facts, sql
 from plumbline.operators.prefix import cumulative
 from plumbline.operators.trailing import day_of
+from plumbline.scratch import cut, numbered
 from plumbline.sources.readers import labelled_csv, path_labels, tri_state
 from plumbline.sources.tables import table
 
@@ -36,7 +37,9 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 
 def tri_labels(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "yelp_nyc_metadata", "review_id", "label", "loaded_at")
-    return m.select(tri_state(F.col("label").cast("double")).alias("is_fake")).groupBy("is_fake").agg(F.count(F.lit(1)).alias("n"))
+    # -1 is a filtered review, 1 a recommended one: 1 and 0 in the notation of the campaign file.
+    flag = F.when(F.col("label") == -1, 1.0).when(F.col("label") == 1, 0.0).otherwise(F.col("label"))
+    return m.select(tri_state(flag).alias("is_fake")).groupBy("is_fake").agg(F.count(F.lit(1)).alias("n"))
 
 
 def seed_sample(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
@@ -69,11 +72,30 @@ def pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 def task_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Category x rating tasks not yet done: a cross product of two fixed lists, less the keys that exist."""
-    r = table(spark, d, "reviews", "category", "rating")
-    plan = spark.createDataFrame([(float(v),) for v in range(1, 6)], "rating double")
-    grid = r.select("category").filter("category is not null").distinct().crossJoin(F.broadcast(plan))
-    return grid.join(r.select("category", "rating").distinct(), ["category", "rating"], "left_anti")
+    """Category x rating x split x generator tasks not yet done: a cross product of short lists, less the keys that exist."""
+    key = ["category", "rating", "split_role", "generator"]
+    clean = lambda c: F.lower(F.trim(c))
+    roles = F.broadcast(table(spark, d, "fold_roles", "fold", "split_role").select(clean("fold").alias("f"), "split_role"))  # a row per fold
+    r = table(spark, d, "reviews", "category", "rating", "fold", "generator").select("category", "rating", clean("fold").alias("f"), clean("generator").alias("generator"))
+    done = r.join(roles, "f").select(*key).distinct()
+    plan = roles.select("split_role").distinct().crossJoin(spark.createDataFrame([(float(v),) for v in range(1, 6)], "rating double"))
+    names = lambda c: r.select(c).filter(F.col(c).isNotNull()).distinct()
+    # Categories, generators, ratings and splits are few by nature; the grid is their product.
+    grid = names("category").crossJoin(F.broadcast(names("generator"))).crossJoin(F.broadcast(plan))
+    return grid.join(done, key, "left_anti").select(*key)
+
+
+def shuffled_tasks(spark: SparkSession, d: str, seed: int = 42) -> DataFrame:
+    """The open tasks in a seeded order: place 1.. by the MD5 of task and seed."""
+    t = task_grid(spark, d)
+    key = F.concat_ws("|", "category", F.col("rating").cast("int").cast("string"), "split_role", "generator", F.lit(str(seed)))
+    return numbered(t.withColumn("h", F.md5(key)), ["h"], "place").drop("h")
+
+
+def sample(spark: SparkSession, d: str, n: int = 300) -> DataFrame:
+    """n documents (or all, if there are fewer) by MD5 of id and seed: a sampling operator, so its limit is its purpose."""
+    h = F.md5(F.concat_ws("|", "doc_id", F.lit("42")))
+    return table(spark, d, "documents", "doc_id").orderBy(h, "doc_id").limit(n)
 
 
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +118,11 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lag_days(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).select("review_id", F.datediff("day", F.lag("day").over(Window.partitionBy("u").orderBy("day", "review_id"))).alias("gap"))
+    """Days since the reviewer's review before: a day's first review has the gap to the day before, the others 0."""
+    r = cut(facts(spark, d).select("review_id", "u", "day"))
+    first = r.groupBy("u", "day").agg(F.min("review_id").alias("_first"))
+    r = r.join(active_days(r).join(first, ["u", "day"]), ["u", "day"])
+    return r.select("review_id", F.when(F.col("review_id") == F.col("_first"), F.col("gap")).otherwise(0).alias("gap"))
 
 
 def reviewer_business(spark: SparkSession, d: str) -> DataFrame:
@@ -116,19 +142,22 @@ def orders_shape(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "j01_meta_with_text": meta_with_text, "s02_path_labels": path_scan, "s03_labelled_csv": labelled, "s07_tri_state": tri_labels, "t06_stratified_sample": seed_sample, "filter04_length_between": seed_texts, "j05_singletons": singletons,
-    "j06_campaign_products": campaign_rows, "j07_pending": pending, "j08_j17_task_grid": task_grid, "a24_source_counts": source_counts, "a08_distinct_counts": distinct_counts, "a09_value_counts": value_counts, "f13_json": json_props,
+    "j06_campaign_products": campaign_rows, "j07_pending": pending, "t07_sample": sample, "t08_shuffled_tasks": shuffled_tasks, "j08_j17_task_grid": task_grid, "a24_source_counts": source_counts, "a08_distinct_counts": distinct_counts, "a09_value_counts": value_counts, "f13_json": json_props,
     "w05_lag_days": lag_days, "j02_j03_stats_joins": reviewer_business, "star_join": orders_shape,
 }
 _DAY = lambda c: rf"coalesce(try_cast(regexp_extract(trim({c}), '^\d{{4}}-\d{{1,2}}-\d{{1,2}}') as date), try_strptime(trim({c}), '%m/%d/%Y')::date, try_strptime(trim({c}), '%b %d, %Y')::date)"
+_GRID = """select category, rating, split_role, generator from (select distinct category from reviews where category is not null), (select unnest([1.0, 2.0, 3.0, 4.0, 5.0])::double rating), (select distinct split_role from fold_roles),
+ (select distinct lower(trim(generator)) generator from reviews where generator is not null) except select category, rating, split_role, lower(trim(generator)) from reviews join fold_roles on lower(trim(fold_roles.fold)) = lower(trim(reviews.fold))"""
 SQL = {
     "j01_meta_with_text": f"select m.reviewer_id, m.business_id, m.day, rating, label = -1 is_fake, length(text) chars, 'nyc' source_dataset from (select *, {_DAY('date')} as day from yelp_nyc_metadata) m join (select *, {_DAY('date')} as day from yelp) t on m.reviewer_id = t.reviewer_id and m.business_id = t.business_id and m.day = t.day",
     "s02_path_labels": r"select distinct id, is_fake, case when polarity in ('positive', 'negative') then polarity end polarity, case when regexp_full_match(lower(trim(fold)), 'fold\d+') then lower(trim(fold)) end fold, case when regexp_full_match(lower(hotel), '[a-z]+') then lower(hotel) end hotel from reviews where is_fake is not null",
     "s03_labelled_csv": "select coalesce(is_fake, false) is_fake, case when is_fake then 'language_model' else 'human' end generator, category, count(*) n, count(text) n_text from reviews group by 1, 2, 3",
-    "s07_tri_state": "select case when label = 1 then true when label = 0 then false end is_fake, count(*) n from yelp_nyc_metadata group by 1",
+    "s07_tri_state": "select case when label = -1 then true when label = 1 then false end is_fake, count(*) n from yelp_nyc_metadata group by 1",
     "t06_stratified_sample": "select source_dataset, id, i place from (select *, row_number() over (partition by source_dataset order by md5(id || '|42'), id) i from (select distinct id, source_dataset from reviews)) where i <= 20",
     "filter04_length_between": "select distinct id from reviews where length(text) between 80 and 400 and not is_fake", "j05_singletons": sql("select review_id from r where u in (select u from r group by 1 having count(*) = 1)"),
     "j06_campaign_products": sql("select review_id, b from r where b in (select b from r where y = 1)"), "j07_pending": "select doc_id from documents d where text is not null and not exists (select 1 from reviews r where r.text = d.text)",
-    "j08_j17_task_grid": "select category, rating from (select distinct category from reviews where category is not null), (select unnest([1.0, 2.0, 3.0, 4.0, 5.0])::double rating) except select category, rating from reviews",
+    "j08_j17_task_grid": _GRID, "t07_sample": "select doc_id from documents order by md5(doc_id || '|42'), doc_id limit 300",
+    "t08_shuffled_tasks": f"select *, row_number() over (order by md5(category || '|' || rating::int || '|' || split_role || '|' || generator || '|42')) place from ({_GRID})",
     "a24_source_counts": "select source_dataset, is_fake, count(*) n from reviews group by 1, 2", "a08_distinct_counts": sql("select count(distinct u) accounts, count(distinct b) businesses, count(*) reviews from r"),
     "a09_value_counts": sql("select rating, count(*) n, round(count(*) / sum(count(*)) over (), 6) as share from r group by 1"), "f13_json": "select event_type, sum((props::json ->> '$.k')::bigint)::bigint k, count(props::json ->> '$.k') n from events group by 1",
     "w05_lag_days": sql("select review_id, date_diff('day', lag(day) over (partition by u order by day, review_id), day) gap from r"), "j02_j03_stats_joins": sql("select review_id, count(*) over (partition by u) u_n, count(*) over (partition by b) b_n from r"),

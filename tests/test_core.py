@@ -103,6 +103,9 @@ def test_hot_keys(spark, folder):
     assert by(hotkeys.salted_counts(y, "business_id", ["review_id"]), "business_id", "n_rows")[1] == 201
     folder.write("yelp", rows, "review_id bigint, business_id bigint, reviewer_id bigint, date string, text string")
     assert {(r.key_column, r.key_id) for r in hotkeys.p2_found(spark, folder.at).collect()} == {("business_id", 1), ("reviewer_id", 5)}
+    side = spark.createDataFrame([(1, "hot"), (2, "cold")], "business_id bigint, what string")
+    j = hotkeys.salted_join(y, side, "business_id", ["review_id"])
+    assert j.count() == len(rows) and j.filter("what = 'hot'").count() == 201 and j.filter("business_id = 3").first().what is None
     p = {r.key_id: r for r in hotkeys.profile(y, "business_id", "reviewer_id").collect()}
     assert p[1].n_rows == 201 and p[1].n_reviews == 200 and p[1].n_others == 1
     assert hotkeys.profile(y.filter("false"), "business_id", "reviewer_id").count() == 0 and hotkeys.heavy_keys(y.filter("false"), "business_id").count() == 0
@@ -149,6 +152,7 @@ def test_general_graphs(spark):
     two = [(a, b) for g in (0, 10) for a in range(g, g + 6) for b in range(a + 1, g + 6)] + [(5, 10)]
     e = spark.createDataFrame(two, "src bigint, dst bigint")
     for f in (graphs.louvain, graphs.leiden):
+        assert f(e.filter("false")).count() == 0
         c = by(f(e), "node", "community")
         assert len({c[i] for i in range(6)}) == 1 and len({c[i] for i in range(10, 16)}) == 1 and c[0] != c[10]
     assert graphs.modularity(e, graphs.louvain(e)) > 0.4
@@ -217,6 +221,48 @@ def test_models_are_fitted_over_the_whole_grid(spark, monkeypatch):
     assert [(k["layers"], k["maxIter"]) for k in made] == [([9 * (o + 1), h, 2], 600) for o in (2, 3, 4) for h in (64, 128)]
 
 
+def test_quantiles(spark):
+    import numpy as np
+
+    rnd = random.Random(4)
+    rows = [(g, rnd.choice([1.0, 2.0, rnd.random()])) for g in "ab" for _ in range(101)] + [("c", 5.0), ("c", None)]
+    qs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = {(r.g, r.q): r.v for r in prefix.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", qs).collect()}
+    for g in "abc":
+        x = [v for k, v in rows if k == g and v is not None]
+        assert [got[g, q] for q in qs] == pytest.approx(list(np.quantile(x, qs)))
+
+
+def test_hypergeometric_tail():
+    for pop, pos, n in ((30, 9, 7), (30, 25, 10), (12, 12, 5), (50, 3, 20)):
+        p = [math.comb(pos, k) * math.comb(pop - pos, n - k) / math.comb(pop, n) if n - k <= pop - pos else 0.0 for k in range(n + 1)]
+        for k in range(n + 1):
+            assert relations._tail(pop, pos, n, k) == pytest.approx(sum(p[k:]), abs=1e-12)
+    assert 0 < relations._tail(10**10, 10**9, 10**8, 10**7 + 10_000) < 0.01
+
+
+def test_edges_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(relations, "BLOCK", 3)
+    rows = [(i, "a" if i < 20 else "b" if i < 25 else f"c{i}") for i in range(30)]
+    got = [(r.src, r.dst) for r in relations.edges(spark.createDataFrame(rows, "review_id bigint, k string"), "k").collect()]
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and a == b}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_degenerate_columns_and_correlations(spark):
+    rnd = random.Random(7)
+    rows = [(i, x := rnd.random(), -2.0 * x + 1, 3.0, rnd.random(), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double, e double")
+    assert evaluate.kept_columns(df, ["a", "b", "c", "d", "e"]) == ["a", "d"]
+    got = {(r.a, r.b): (r.pearson, r.spearman) for r in evaluate.correlations(df, "id", ["a", "b", "c", "e"]).collect()}
+    assert got["a", "b"] == (-1.0, -1.0) and got["a", "c"] == (None, None) and got["a", "e"] == (None, None)
+
+
+def test_text_scores(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id bigint, t string")
+    assert by(models.text_scores(df, "id", "t", lambda: lambda texts: [len(t) for t in texts]), "id", "score") == {1: 2.0, 2: None, 3: 0.0}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "op/negative_polarity/deceptive_x/fold2").mkdir(parents=True)
     (tmp_path / "op/negative_polarity/deceptive_x/fold2/d_hilt_7.txt").write_text(" Bad stay \n")
