@@ -34,15 +34,6 @@ def salted(rows: DataFrame, key: str, identity: list[str | Column], share: float
     )
 
 
-def salted_join(rows: DataFrame, side: DataFrame, key: str, identity: list[str | Column], share: float = HEAVY, salts: int = SALTS) -> DataFrame:
-    """`rows` left-joined with `side`, which has one row per key: rows of heavy keys spread over salts, and the few rows of
-    `side` that they meet stand once per salt."""
-    hot = F.broadcast(heavy_keys(rows, key, share).select(F.col(key).alias("_hot")))  # at most 1/share keys
-    many = side.join(hot, F.col(key) == F.col("_hot"), "left")
-    many = many.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("_hot").isNotNull(), salts - 1).otherwise(0).cast("bigint")))).drop("_hot")
-    return salted(rows, key, identity, share, salts).join(many, [key, "_salt"], "left").drop("_salt")
-
-
 def salted_counts(rows: DataFrame, key: str, identity: list[str | Column]) -> DataFrame:
     """(key, n_rows): partial counts by key and salt, merged by key. Null is no key."""
     part = salted(rows.filter(F.col(key).isNotNull()), key, identity).groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("n"))

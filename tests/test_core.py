@@ -103,9 +103,6 @@ def test_hot_keys(spark, folder):
     assert by(hotkeys.salted_counts(y, "business_id", ["review_id"]), "business_id", "n_rows")[1] == 201
     folder.write("yelp", rows, "review_id bigint, business_id bigint, reviewer_id bigint, date string, text string")
     assert {(r.key_column, r.key_id) for r in hotkeys.p2_found(spark, folder.at).collect()} == {("business_id", 1), ("reviewer_id", 5)}
-    side = spark.createDataFrame([(1, "hot"), (2, "cold")], "business_id bigint, what string")
-    j = hotkeys.salted_join(y, side, "business_id", ["review_id"])
-    assert j.count() == len(rows) and j.filter("what = 'hot'").count() == 201 and j.filter("business_id = 3").first().what is None
     p = {r.key_id: r for r in hotkeys.profile(y, "business_id", "reviewer_id").collect()}
     assert p[1].n_rows == 201 and p[1].n_reviews == 200 and p[1].n_others == 1
     assert hotkeys.profile(y.filter("false"), "business_id", "reviewer_id").count() == 0 and hotkeys.heavy_keys(y.filter("false"), "business_id").count() == 0
