@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +25,8 @@ from plumbline.sources.tables import spread, table
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 ROUNDS, PRIOR = 3, 1.0
+#: Characters in which the two words of a context must stand, and those a mail address may have at most.
+CONTEXT, ADDRESS_LENGTH = 40, 254
 #: Least scores: of a disguise, of the three parts of a number together, of a street kind, and of the parts of a name.
 MAIL, NUMBER, STREET = 0.3, 0.3, 0.25
 NAME_GIVEN, NAME_SURNAME, NAME_INITIAL, NAME_CONTEXT = 0.3, 0.05, 0.3, 0.3
@@ -67,7 +68,7 @@ _STREET_RX = [(k, regex.compile(p.replace("{WORDS}", f"{{{n}}}"))) for k, p in _
 _NAME_RX = [(k, regex.compile(p)) for k, p in _NAMES]
 _AT_RX, _LOCAL_RX, _SIGN_RX = regex.compile(_AT), regex.compile(r"(?<![\w.+%-])[\w%+-]+(?:\.[\w%+-]+)*$"), regex.compile("[@＠﹫]")
 _TURNED_RX = regex.compile(r"\p{Lu}[\p{L}\p{M}'’]+, \p{Lu}")
-_DIGIT_RX, _WORD_RX = regex.compile(_DIGIT), re.compile(r"[^\W\d_]+")
+_DIGITS = frozenset(_DIGIT[3:-1].split("|"))
 _MAIL_RX, _MAIL2_RX, _NUM_RX, _SPELLED_RX = map(regex.compile, (_MAIL_PLAIN, _MAIL_OTHER, _NUMBER, _SPELLED))
 #: Words before a number that make it one of an order, booking, item and the like, which is no case.
 _NOT = re.compile(r"\b(order|booking|reservation|invoice|item|coupon|bill|receipt|version|ticket|ref|gate|room|bestellung|rechnung|pedido|factura|commande|facture)\b")
@@ -79,7 +80,7 @@ _TAIL = 3  # letters that tell the kind of a one-word street, and of a surname t
 
 
 def _left(t: str, s: int) -> str:
-    line = t[max(0, s - 40) : s]
+    line = t[max(0, s - CONTEXT) : s]
     line = line[line.rfind("\n") + 1 :]
     if not line.strip():
         return "^"
@@ -91,7 +92,7 @@ def _left(t: str, s: int) -> str:
 
 
 def _right(t: str, e: int) -> str:
-    line = t[e : e + 40].split("\n", 1)[0]
+    line = t[e : e + CONTEXT].split("\n", 1)[0]
     if not line.strip():
         return "$"
     glued = "" if line[0].isspace() else "+"
@@ -107,17 +108,15 @@ def _sur(s: str) -> str:
     return f"{s[:3]}~{s.rsplit('-', 1)[-1][-3:]}"
 
 
-@lru_cache(100_000)
-def _digit(w: str) -> bool:
-    return bool(_DIGIT_RX.fullmatch(w))
-
-
 def _spelled(t: str) -> bool:
-    """Whether six words in a row are digits."""
+    """Whether four words in a row are digits, as there must be inside six that may have other signs around them."""
+    w = t.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
+    if sum(map(_DIGITS.__contains__, w)) < 4:
+        return False
     run = 0
-    for w in _WORD_RX.findall(t.lower()):
-        run = run + 1 if _digit(w) else 0
-        if run == 6:
+    for x in w:
+        run = run + 1 if x in _DIGITS else 0
+        if run == 4:
             return True
     return False
 
@@ -129,11 +128,11 @@ def found_in(t: str) -> Iterator[tuple[str, str, int, int, str, str, str]]:
             yield "EMAIL", "@", m.start(), m.end(), "@", "", ""
     for a in _AT_RX.finditer(t, overlapped=True):
         # The part before has no blank: start where it starts, instead of trying every place of the text.
-        local = _LOCAL_RX.search(t, max(0, a.start() - 255), a.start())
+        local = _LOCAL_RX.search(t, max(0, a.start() - ADDRESS_LENGTH), a.start())
         m = local and _MAIL2_RX.match(t, local.start())
         if m and (" @ " in m.group() or not _SIGN_RX.search(m.group())):
             style = regex.sub(r"[\w%+-]{2,}(?<!\bat|\bAT|\bdot|\bDOT|\barroba|\bpunto|\bpunkt|\bpoint)", "w", m.group())
-            yield "EMAIL", "w", m.start(), m.end(), regex.sub(r"w([.\-]w)*", "w", style)[:40], "", ""
+            yield "EMAIL", "w", m.start(), m.end(), regex.sub(r"w([.\-]w)*", "w", style), "", ""
     if _spelled(t):
         for m in _SPELLED_RX.finditer(t):
             yield "NUMBER", "w", m.start(), m.end(), "spelled", "", ""
