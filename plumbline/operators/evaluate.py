@@ -194,7 +194,7 @@ def correlations(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
         of = bounded(ranks.filter(F.col("kind") == c).select(F.col("value").alias(c), F.col("r").alias(f"r_{c}")))
         df = df.join(of, c, "left")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    safe = lambda a, b: F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    safe = lambda a, b: F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
     row = df.agg(*[x for a, b in pairs for x in (safe(a, b).alias(f"p_{a}_{b}"), safe(f"r_{a}", f"r_{b}").alias(f"s_{a}_{b}"))])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(f"p_{a}_{b}").alias("pearson"), r6(f"s_{a}_{b}").alias("spearman")) for a, b in pairs])).alias("x")).select("x.*")
 

@@ -192,7 +192,7 @@ def test_belief_converges_and_stays_a_probability(r8):
 def test_text_similarity(spark):
     docs = spark.createDataFrame([(1, "good soup here"), (2, "good soup here"), (3, "bad tea there"), (4, None), (5, "")], "id bigint, text string")
     blocks = spark.createDataFrame([(i, "b", i) for i in range(1, 6)], "id bigint, blk string, author bigint")
-    vec = spark.createDataFrame([(1, "x", 1.0), (2, "x", 1.0), (3, "y", 1.0)], "id bigint, gram string, w double")
+    vec = spark.createDataFrame([(1, 7, 1.0), (2, 7, 1.0), (3, 8, 1.0)], "id bigint, h bigint, w double")
     assert by(textsim.max_similarity(vec, blocks), "id", "max_sim") == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0}
     got = {r.gram for r in textsim.grams(docs.filter("id = 3")).collect()}
     assert {" ba", "bad", "ad ", " bad", "bad ", " bad "} <= got
