@@ -70,6 +70,31 @@ def test_edits_of_long_words_are_found_as_well_as_others():
     assert (sketch.estimate(a, b) >= neardup.FLOOR).all() and (keys[0] == keys[1]).any(0).mean() > 0.95
 
 
+def test_unrelated_texts_that_share_bands_are_not_written(spark):
+    rnd = random.Random(21)
+    texts = {i: " ".join(rnd.choices([f"v{k}" for k in range(70)], k=30)) for i in range(1500)}
+    texts |= {2000 + i: f"{texts[i]} more" for i in range(50)}
+    df = spark.createDataFrame([(0, 0, i, t) for i, t in texts.items()], "g int, side int, id bigint, text string")
+    sk = neardup.sketched(df)
+    want = near(texts)
+    cand = neardup.candidates(sk, across=False).count()
+    assert len(want) >= 50 and cand <= 2 * len(want) and neardup.verified(sk, neardup.candidates(sk, across=False), df).count() >= 0.95 * len(want)
+
+
+def test_filter_bits_never_rule_out_a_pair_over_the_threshold():
+    rnd = random.Random(22)
+    for n in (8, 30, 120, 181, 200, 257, 258, 700, 40_000):
+        bags, fp = [], np.arange(60, dtype=np.uint64) * np.uint64(2)
+        for _ in range(30):  # as dissimilar as the threshold lets be: shorter by 30 %, or as long and with other words
+            a, less, common = [f"x{rnd.randrange(10**9)}" for _ in range(n)], -(-7 * n // 10), -(-14 * n // 17)
+            bags += [a, a[:less] if rnd.random() < 0.5 else a[:common] + [f"y{rnd.randrange(10**9)}" for _ in range(n - common)]]
+        assert all(sketch.bag_similarity(a, b) >= 0.7 for a, b in zip(bags[::2], bags[1::2]))
+        _, g, x = neardup._entries(sketch.sketches(bags), fp, np.zeros(60, np.int64))
+        x[:, :4] = g.astype("<u4").view(np.uint8).reshape(-1, 4)  # all of a kind in one run
+        got = {(a, b) for r in neardup._run_pairs(x, False) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist())}
+        assert {(4 * i, 4 * i + 2) for i in range(30)} <= got
+
+
 def test_p3_equals_brute_force(spark, folder):
     texts = dict(enumerate(corpus(1, 250)))
     copies = {1000 + i: "The same eight words stand here again and again" for i in range(120)}  # a hot group
