@@ -139,6 +139,31 @@ def test_p1_finds_equal_records_by_the_hash_alone(spark, folder, monkeypatch):
     assert sorted((r.n_records, r.n_same, r.n_near, r.n_links) for r in p1.report(spark, folder.at).collect()) == [(2, 1, 1, 1)]
 
 
+def at_threshold(n):
+    """{id: text} of n pairs (i, 10,000 + i), each of 17 words with 14 in common: 14 of 20, a similarity of 0.7."""
+    rnd, out = random.Random(23), {}
+    for i in range(n):
+        w = [f"q{rnd.randrange(10**7)}" for _ in range(20)]
+        out |= {i: " ".join(w[:17]), 10_000 + i: " ".join(w[:14] + w[17:])}
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_p1_finds_every_pair_at_the_threshold(spark, folder, monkeypatch, whole):
+    monkeypatch.setattr(neardup, "ALL", neardup.ALL if whole else 0)  # compared whole, or by bands
+    folder.write("reviews", reviews(at_threshold(400), lambda i: "fold1" if i < 10_000 else "fold2"), REVIEWS)
+    folder.write("fold_roles", [("fold1", "train"), ("fold2", "test")], "fold string, split_role string")
+    assert {(r.id_a, r.id_b) for r in p1.found(spark, folder.at).collect()} == {(i, 10_000 + i) for i in range(400)}
+
+
+def test_p1_finds_texts_of_ids_that_have_another_text_too(spark, folder):
+    one, other = "these eight words stand here on both sides", "zz is the first of nine words of another text"
+    rows = [(1, one), (1, other), (2, f"{one} too"), (3, f"{other} too")]
+    folder.write("reviews", [(i, t, None, None, "fold1" if i == 1 else "fold2", None, "s", None, None, None) for i, t in rows], REVIEWS)
+    folder.write("fold_roles", [("fold1", "train"), ("fold2", "test")], "fold string, split_role string")
+    assert {(r.id_a, r.id_b) for r in p1.found(spark, folder.at).collect()} == {(1, 2), (1, 3)}
+
+
 def test_every_pair_of_copies_follows_from_links_and_classes(spark, folder):
     same = ["the same eight words stand here again and again", "The same, eight words stand here AGAIN and again!"]
     texts = {i: same[i % 2] for i in range(240)}
