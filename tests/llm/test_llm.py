@@ -156,6 +156,27 @@ def test_p1_finds_every_pair_at_the_threshold(spark, folder, monkeypatch, whole)
     assert {(r.id_a, r.id_b) for r in p1.found(spark, folder.at).collect()} == {(i, 10_000 + i) for i in range(400)}
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_p3_finds_every_pair_at_the_threshold(spark, folder, monkeypatch, whole):
+    monkeypatch.setattr(neardup, "ALL", neardup.ALL if whole else 0)
+    texts = at_threshold(400)
+    folder.write("reviews", reviews(texts), REVIEWS)
+    folder.write("yelp", [(i, 1, 1, "2020-01-01", t) for i, t in texts.items()], YELP)
+    want = {(i, 10_000 + i) for i in range(400)}
+    got = p3.found(spark, folder.at).collect()
+    assert len(got) == 800 and all({(r.id_a, r.id_b) for r in got if r.tab == t} == want for t in p3.TABS)
+    g = p3.groups(spark, folder.at).collect()
+    assert len(g) == 1600 and all(r.group_id == r.id % 10_000 and r.n_links == 1 for r in g)
+
+
+@pytest.mark.parametrize("rows", sorted(neardup.LAYOUTS))
+def test_no_layout_loses_pairs_at_the_threshold(rows):
+    texts, pick = at_threshold(1000), sketch.picks(neardup.LAYOUTS[rows], rows)
+    a, b = (sketch.sketches([texts[i + at].split() for i in range(1000)]) for at in (0, 10_000))
+    x, y = (sketch.band_keys(v, pick, np.zeros(1000, np.int64)) for v in (a, b))
+    assert (x == y).any(0).all() and (sketch.estimate(a, b) >= neardup.FLOOR).all()
+
+
 def test_p1_finds_texts_of_ids_that_have_another_text_too(spark, folder):
     one, other = "these eight words stand here on both sides", "zz is the first of nine words of another text"
     rows = [(1, one), (1, other), (2, f"{one} too"), (3, f"{other} too")]
