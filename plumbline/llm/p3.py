@@ -24,10 +24,18 @@ def near_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sk, N.verified(sk, N.candidates(sk, across=False), texts)
 
 
-def found(spark: SparkSession, d: str, full: int = N.FULL) -> DataFrame:
-    """Every pair of nearly the same records within `reviews` or `yelp`; texts of under 8 words and nulls never count.
+def every(spark: SparkSession, d: str) -> DataFrame:
+    """p3_found: every pair of nearly the same records within `reviews` or `yelp`, of copies too, however many there are.
+
+    Texts of under 8 words and nulls never count.
+    """
+    sk, pairs = near_pairs(_texts(spark, d))
+    return N.multiplied(sk, pairs).select(_tab().alias("tab"), "id_a", "id_b")
+
 
-    Classes of copies give all their pairs up to `full` of them, else a star; `groups` names the rest.
+def found(spark: SparkSession, d: str, full: int = N.FULL) -> DataFrame:
+    """The short form of `every`: classes of copies give all their pairs up to `full` of them, else a star; `groups` names
+    the rest.
     """
     sk, pairs = near_pairs(_texts(spark, d))
     return N.expanded(sk, pairs, full=full).select(_tab().alias("tab"), "id_a", "id_b")
@@ -35,7 +43,7 @@ def found(spark: SparkSession, d: str, full: int = N.FULL) -> DataFrame:
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per record that resembles another: tab, id, group_id (least id joined through links), n_links, n_copies,
-    class_id.
+    class_id. A record with several texts has a row for each that does, and joins what they resemble into one group.
 
     Records of one class_id have the same word sequence: where `found` gives a star of copies, it gives the other pairs. n_links counts the other classes of texts linked directly, n_copies the records with the same word sequence.
     """
@@ -44,7 +52,8 @@ def groups(spark: SparkSession, d: str) -> DataFrame:
     sk, pairs = near_pairs(_texts(spark, d))
     both = pairs.select(F.col("fa").alias("fp"), F.col("fb").alias("o")).unionByName(pairs.select(F.col("fb").alias("fp"), F.col("fa").alias("o")))
     links = both.groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = components(pairs.select(F.col("fa").alias("src"), F.col("fb").alias("dst")))
+    own = N.several(sk).select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst"))
+    comp = components(pairs.select(F.col("fa").alias("src"), F.col("fb").alias("dst")).unionByName(own))
     c = N.classes(sk)
     size = c.groupBy("fp").agg(F.count(F.lit(1)).alias("n_copies"))
     rows = (

@@ -205,6 +205,29 @@ def test_every_pair_of_copies_follows_from_links_and_classes(spark, folder):
     assert len(got) == 239 and rebuilt(got, p3.groups(spark, folder.at).collect()) == {(i, j) for i in range(240) for j in range(i + 1, 240)}
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 40])
+def test_p3_query_gives_every_pair_of_copies(spark, folder, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    a, b = "the same eight words stand here again and again", "The same, eight words stand here AGAIN and again, more"
+    rows = [(i, a) for i in range(130)] + [(200 + i, b) for i in range(110)]  # 16,900, 14,300 and 12,100 ordered pairs
+    rows += [(400, "the same nine words stand here again and again"), (500, "zz is the first of eight other words")]
+    rows += [(5, b), (129, b), (209, a), (7, "ZZ is the first of eight other words")]  # records with two texts
+    folder.write("reviews", [], REVIEWS)
+    folder.write("yelp", [(i, 1, 1, "2020-01-01", t) for i, t in rows * 2], YELP)
+    got = [(r.tab, r.id_a, r.id_b) for r in queries.QUERIES["p3_found"](spark, folder.at).collect()]
+    want = near({k: t for k, (_, t) in enumerate(rows)})
+    want = {("yelp", *sorted((rows[i][0], rows[j][0]))) for i, j in want if rows[i][0] != rows[j][0]}
+    assert len(want) == 241 * 240 // 2 + 1 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_p3_groups_join_through_a_record_with_two_texts(spark, folder):
+    one, other = "these eight words stand here on both sides", "zz is the first of nine words of another text"
+    folder.write("reviews", [], REVIEWS)
+    folder.write("yelp", [(i, 1, 1, "2020-01-01", t) for i, t in [(2, one), (2, other), (1, f"{one} too"), (3, f"{other} too"), (4, "alone " * 9)]], YELP)
+    g = p3.groups(spark, folder.at).collect()
+    assert sorted((r.id, r.group_id, r.n_links) for r in g) == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equal_to_sql(spark, name):
     assert differ(spark, "/root/testdata/sf0.001", queries.QUERIES[name], queries.SQL[name]) == ""
