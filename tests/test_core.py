@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import scratch
-from plumbline.operators import behavior, belief, bursts, components, evaluate, facts, graphs, hotkeys, models, prefix, relations, textsim, trailing
+from plumbline.operators import behavior, belief, bursts, cliques, components, evaluate, facts, graphs, hotkeys, models, prefix, relations, textsim, trailing
 from plumbline.sources import readers, writers
 from plumbline.streaming import weekly
 
@@ -164,6 +164,35 @@ def test_general_graphs(spark):
     assert graphs.louvain(none).count() == graphs.peeled(none).count() == relations.egonets(none).count() == 0
 
 
+def _reviews_of_groups(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.randrange(6) if rnd.random() < 0.4 else 100 + rnd.randrange(60), rnd.randrange(12), float(rnd.choice([1, 5, 5])), datetime.date(2024, 1, 1 + rnd.randrange(28))) for i in range(400)]
+    return facts.keyed(spark.createDataFrame(rows + [(400, 999, 99, 1.0, datetime.date(2024, 1, 1))], "review_id bigint, u bigint, b bigint, rating double, day date"))
+
+
+def _no_gain_is_left(e, c):
+    """Of edges (src, dst, w) and communities by node: no node gains by a move to a neighbour's, none by a join of two."""
+    k, tot, to, between, m = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float), sum(w for _, _, w in e)
+    for a, b, w in e:
+        for x, y in ((a, b), (b, a)):
+            k[x] += w
+            tot[c[x]] += w
+            to[x, c[y]] += w
+            between[c[x], c[y]] += w
+    assert all(w - tot[a] * tot[b] / (2 * m) <= 1e-6 for (a, b), w in between.items() if a != b)
+    return sum(w for (a, b), w in between.items() if a == b) / (2 * m) - sum(t * t for t in tot.values()) / (4 * m * m)
+
+
+def test_leiden_by_keys_makes_no_edges(spark):
+    r = _reviews_of_groups(spark)
+    rows = [(x.src, x.dst, 1.0) for x in relations.union_edges(r).collect()]
+    c = by(graphs.by_keys(r, cliques.leiden, graphs._C, lambda: None), "node", "community")
+    assert set(c) == {x for a, b, _ in rows for x in (a, b)} and all(min(i for i in c if c[i] == v) == v for v in set(c.values()))
+    assert _no_gain_is_left(rows, c) > 0.3
+    parts = by(components.components(spark.createDataFrame([(a, b) for a, b, _ in rows if c[a] == c[b]] + [(i, i) for i in c], "src bigint, dst bigint")), "node", "component")
+    assert parts == c
+
+
 def test_louvain_goes_on_until_no_gain_is_left(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)], "src bigint, dst bigint").coalesce(1)
     c = graphs.louvain(e)
