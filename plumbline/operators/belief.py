@@ -5,14 +5,16 @@ on the row; the frame is written to the shared folder each round, so the plan st
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.behavior import Q, r6
 from plumbline.operators.bursts import RZ, SPINE, ZS, burst_z
+from plumbline.operators.cliques import LOCAL, at_once, codes
 from plumbline.operators.evaluate import DIGITS, _metrics_sql, metrics, percentile_priors
 from plumbline.operators.facts import beside, sql
 from plumbline.operators.relations import TRAIN, in_train
-from plumbline.scratch import cut, forget
+from plumbline.scratch import counted, cut, forget
 
 EPS, DAMPING, TOLERANCE, MAX_ROUNDS = 0.15, 0.5, 1e-4, 150
 CLIP = 1e-6
@@ -65,6 +67,13 @@ def _passed(x: Column) -> Column:
     return F.ln((EPS + (1 - EPS) * e) / ((1 - EPS) + EPS * e))
 
 
+def _passed_any(x: Column) -> Column:
+    """`_passed` for numbers of any size; that one, the SQL's, is not a number from 710 on, which some 1,000 reviews of one
+    user come to."""
+    e = F.exp(-F.abs(x))
+    return F.signum(x) * F.ln(((1 - EPS) + EPS * e) / (EPS + (1 - EPS) * e))
+
+
 def _damped(old: Column, new: Column) -> Column:
     p = DAMPING * _sigmoid(old) + (1 - DAMPING) * _sigmoid(new)
     return F.ln(p / (1 - p))
@@ -73,16 +82,53 @@ def _damped(old: Column, new: Column) -> Column:
 def propagated(p: DataFrame, rounds: int | None = None) -> DataFrame:
     """(review_id, belief) after `rounds` Jacobi rounds, or until no belief moves by TOLERANCE, looked at every round.
 
-    What a user or product hears is summed per task and per key and joined back; a round is written once, and the round
-    before is removed.
+    To the end, up to LOCAL reviews one task goes through all rounds, so that a round costs no job; else each is a job of its own.
+    """
+    if rounds:
+        return _by_rounds(p, rounds)
+    p, n = counted(p.select(F.col("review_id").cast("bigint"), F.col("u").cast("bigint"), F.col("b").cast("bigint"), "prior_r", "prior_u", "prior_b"))
+    if n > LOCAL:
+        return _by_rounds(p)
+    m = p.select("review_id", "u", "b", *[_logit(F.col(f"prior_{x}")).alias(f"l{x}") for x in "rub"])
+    return at_once(m, _rounds, "review_id bigint, belief double")
+
+
+def _rounds(review_id, u, b, lr, lu, lb, rounds: int | None = None) -> list:
+    u, b = codes(u), codes(b)
+    ur, ru, br, rb = (np.zeros(len(lr)) for _ in range(4))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    belief = sigmoid(lr)
+
+    def passed(x):
+        e = np.exp(-np.abs(x))
+        return np.sign(x) * np.log(((1 - EPS) + EPS * e) / (EPS + (1 - EPS) * e))
+
+    def damped(old, new):
+        q = DAMPING * sigmoid(old) + (1 - DAMPING) * sigmoid(new)
+        return np.log(q / (1 - q))
+
+    for _ in range(rounds or MAX_ROUNDS):
+        # The four messages are made from those of the round before.
+        xu, xb, xr, xs = lu + np.bincount(u, ru)[u] - ru, lb + np.bincount(b, rb)[b] - rb, lr + br, lr + ur
+        ur, br, ru, rb = damped(ur, passed(xu)), damped(br, passed(xb)), damped(ru, passed(xr)), damped(rb, passed(xs))
+        was, belief = belief, sigmoid(lr + ur + br)
+        if rounds is None and np.abs(belief - was).max() < TOLERANCE:
+            break
+    return [review_id, belief]
+
+
+def _by_rounds(p: DataFrame, rounds: int | None = None) -> DataFrame:
+    """As `propagated`: what a user or product hears is summed per task and per key and joined back; a round is written once,
+    and the round before is removed.
     """
+    passed = _passed if rounds else _passed_any
     m = p.select("review_id", "u", "b", _logit(F.col("prior_r")).alias("lr"), _logit(F.col("prior_u")).alias("lu"), _logit(F.col("prior_b")).alias("lb"), *[F.lit(0.0).alias(c) for c in ("ur", "ru", "br", "rb")])
     m = cut(m.withColumn("belief", _sigmoid(F.col("lr"))))
     for _ in range(rounds or MAX_ROUNDS):
         x = m.join(m.groupBy("u").agg(F.sum("ru").alias("su")), "u").join(m.groupBy("b").agg(F.sum("rb").alias("sb")), "b").select(
             "review_id", "u", "b", "lr", "lu", "lb", F.col("belief").alias("was"),
-            _damped(F.col("ur"), _passed(F.col("lu") + F.col("su") - F.col("ru"))).alias("ur"), _damped(F.col("br"), _passed(F.col("lb") + F.col("sb") - F.col("rb"))).alias("br"),
-            _damped(F.col("ru"), _passed(F.col("lr") + F.col("br"))).alias("ru"), _damped(F.col("rb"), _passed(F.col("lr") + F.col("ur"))).alias("rb"),
+            _damped(F.col("ur"), passed(F.col("lu") + F.col("su") - F.col("ru"))).alias("ur"), _damped(F.col("br"), passed(F.col("lb") + F.col("sb") - F.col("rb"))).alias("br"),
+            _damped(F.col("ru"), passed(F.col("lr") + F.col("br"))).alias("ru"), _damped(F.col("rb"), passed(F.col("lr") + F.col("ur"))).alias("rb"),
         ).withColumn("belief", _sigmoid(F.col("lr") + F.col("ur") + F.col("br")))
         x = cut(x)
         forget(m)

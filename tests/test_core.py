@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,17 @@ def test_belief_converges_and_stays_a_probability(r8):
     assert len(b) == 8 and all(0 < r.belief < 1 for r in b)
 
 
+def test_belief_in_one_task_equals_a_job_a_round(spark, r8, monkeypatch):
+    p = scratch.cut(belief.priors(r8))
+    want = by(belief._by_rounds(p, 4), "review_id", "belief")
+    cols = [list(c) for c in zip(*[(r.review_id, r.u, r.b, *[math.log(x / (1 - x)) for x in (r.prior_r, r.prior_u, r.prior_b)]) for r in p.collect()])]
+    ids, got = belief._rounds(*[np.array(c) for c in cols], rounds=4)
+    assert dict(zip(ids.tolist(), got.tolist())) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(belief, "_by_rounds", None)  # no job a round, and no overflow by a user of many reviews
+    many = spark.range(3000).selectExpr("id review_id", "1L u", "id b", "0.9D prior_r", "0.9D prior_u", "0.9D prior_b")
+    assert all(0.9 < x.belief < 1 for x in belief.propagated(many).collect())
+
+
 def test_text_similarity(spark):
     docs = spark.createDataFrame([(1, "good soup here"), (2, "good soup here"), (3, "bad tea there"), (4, None), (5, "")], "id bigint, text string")
     blocks = spark.createDataFrame([(i, "b", i) for i in range(1, 6)], "id bigint, blk string, author bigint")
