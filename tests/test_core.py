@@ -3,6 +3,7 @@ import datetime
 import math
 import random
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -194,6 +195,20 @@ def test_leiden_by_keys_makes_no_edges(spark):
     assert parts == c
 
 
+def test_louvain_by_keys_makes_no_edges(spark):
+    r = _reviews_of_groups(spark)
+    for f, e in ((cliques.louvain, relations.union_edges(r).withColumn("w", F.lit(1.0))), (partial(cliques.louvain, weighted=True), relations.weighted_union(r).selectExpr("src", "dst", "weight * 1e4 w"))):
+        rows = [(x.src, x.dst, x.w) for x in e.collect()]
+        c = by(graphs.by_keys(r, f, graphs._C, lambda: None), "node", "community")
+        assert set(c) == {x for a, b, _ in rows for x in (a, b)} and _no_gain_is_left(rows, c) > 0.3
+
+
+def test_peeling_by_keys_equals_peeling_by_edges(spark):
+    r = _reviews_of_groups(spark)
+    want = {tuple(x) for x in graphs.peeled(relations.union_edges(r)).collect()}
+    assert {tuple(x) for x in graphs.by_keys(r, cliques.peeled, "node bigint, step int, density double, place bigint", lambda: None).collect()} == want
+
+
 def test_louvain_goes_on_until_no_gain_is_left(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)], "src bigint, dst bigint").coalesce(1)
     c = graphs.louvain(e)
